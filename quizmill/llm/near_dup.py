@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytesets import mix, pieces, shingle_sets
+from .bytesets import flat, mix, pieces, shingle_sets
 from .common import BROADCAST_ROWS, Shelf, ids_and_text, keep_ids
 from .components import components
 
@@ -52,7 +52,7 @@ def count_vector(shingles: np.ndarray) -> bytes:
 
 
 def vectors(column: pa.Array) -> np.ndarray:
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS + 2)
+    raw = flat(column)[0].reshape(-1, GROUPS + 2)
     scale = raw[:, :2].copy().view(np.uint16).astype(np.float32)
     return raw[:, 2:].astype(np.float32) * scale
 
@@ -143,13 +143,19 @@ class RTree:
         return self.order[nodes[keep]]
 
 
-def _bucket_pairs(rep: np.ndarray, n: np.ndarray, label: np.ndarray, vec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components in one bucket whose bounds allow a link."""
+def _bucket_pairs(rep: np.ndarray, n: np.ndarray, label: np.ndarray, own: np.ndarray, vec: np.ndarray, split: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components in one bucket whose bounds allow a link; in a block of two parts, across them."""
+    if len(rep) <= 2 * LEAF:  # a tree of one leaf
+        i, j = np.nonzero((label[:, None] < label) & (n[:, None] * DEN >= n * NUM) & (n * DEN >= n[:, None] * NUM) & (~split | (own[:, None] != own)))
+        keep = np.minimum(vec[i], vec[j]).sum(axis=1) >= needed(n[i], n[j])
+        return rep[i[keep]], rep[j[keep]]
     tree = RTree(vec, n)
     left, right = [], []
     for i in range(len(rep)):
         near = tree.search(vec[i], n[i])
         near = near[(label[near] > label[i]) & (n[near] * DEN >= n[i] * NUM) & (n[i] * DEN >= n[near] * NUM)]
+        if split:
+            near = near[own[near] != own[i]]
         left.append(np.full(len(near), rep[i]))
         right.append(rep[near])
     return np.concatenate(left), np.concatenate(right)
@@ -162,12 +168,11 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = table.column("token").to_numpy()
         block = table.column("block").to_numpy()
         cut = np.flatnonzero((np.diff(key, prepend=key[:1] - 1) != 0) | (np.diff(block, prepend=block[:1] - 1) != 0))
-        rep, n, label = (table.column(c).to_numpy() for c in ("rep", "n", "label"))
+        rep, n, label, own, split = (table.column(c).to_numpy() for c in ("rep", "n", "label", "own", "split"))
         vec = vectors(table.column("vec").combine_chunks())
-        found = [_bucket_pairs(rep[a:b], n[a:b].astype(np.float64), label[a:b], vec[a:b]) for a, b in zip(cut, [*cut[1:], len(key)], strict=True)]
+        found = [_bucket_pairs(rep[a:b], n[a:b].astype(np.float64), label[a:b], own[a:b], vec[a:b], split[a]) for a, b in zip(cut, [*cut[1:], len(key)], strict=True)]
         a, b = (np.concatenate([x[i] for x in found]) for i in (0, 1))
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     held: pa.Table | None = None
     for batch in batches:
@@ -258,10 +263,14 @@ def near_duplicates(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, block
     mixed = shelf.put(mixed.select("token", "rep", "n", "label", "times"))
     blocks = F.ceil(F.col("times") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    each = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.least(own, other) * blocks + F.greatest(own, other))
-    dealt = mixed.withColumn("block", F.explode(each)).drop("times").join(points.select(F.col("doc_id").alias("rep"), "vec"), "rep")
-    found = dealt.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(_index, "a long, b long").distinct()
-    found = shelf.put(found)
+    each = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct((F.least(own, other) * blocks + F.greatest(own, other)).alias("block"), (own != other).alias("split")))
+    dealt = mixed.select("token", "rep", "n", "label", own.alias("own"), F.explode(each).alias("part")).select("*", "part.*").drop("part")
+    dealt = dealt.join(points.select(F.col("doc_id").alias("rep"), "vec"), "rep")
+    met = dealt.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(_index, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    # what two sets share beyond their common prefix shingles lies behind the prefix of one of them
+    sized = met.join(side("a", "a").drop("va"), "a").join(side("b", "b").drop("vb"), "b")
+    behind = F.greatest(*(F.expr(f"({NUM} * {x} + {DEN - 1}) div {DEN} - 1") for x in ("na", "nb")))
+    found = shelf.put(sized.where((F.col("shared") + behind) * (NUM + DEN) >= (F.col("na") + F.col("nb")) * NUM).select("a", "b"))
     second = _verify(shelf, docs, found, broadcast_rows)
     shelf.drop(shared, mixed, points, stars, found)
     final = components(shelf, first.union(second))

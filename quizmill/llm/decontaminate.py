@@ -62,7 +62,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = B
         part = _windows(part, "item_id", n).select(F.lit(n).alias("length"), "window", "item_id").distinct()
         windows = part if windows is None else windows.union(part)
     worded = _worded(docs, "doc_id")
-    marks = _fingerprints(items, "item_id").select(F.explode("marks").alias("mark")).distinct()
+    marks = _fingerprints(items, "item_id").select(F.explode_outer("marks").alias("mark")).distinct()
     marks = shelf.put(marks.withColumn("hit", F.lit(True)))
     near = F.broadcast(marks) if marks.count() <= broadcast_rows else marks
     seen = _fingerprints(worded, "doc_id").select("doc_id", "n_words", F.explode_outer("marks").alias("mark")).join(near, "mark", "left")

@@ -32,12 +32,18 @@ COPYRIGHT_LINE = r"(?:^|\n)[ \t*#/;-]*(?:copyright[ \t]|\(c\)[ \t]|©)[^\n]*"
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, every run of ASCII punctuation and white space one space, one spelling; trimmed."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
+    """Lower case, no copyright lines, every run of ASCII punctuation and white space one space, one spelling; trimmed.
+
+    The slower replacements run only where a text holds what they look for.
+    """
+    out = F.lower(text)
+    out = F.when(out.contains("copyright") | out.contains("(c)") | out.contains("©"), F.regexp_replace(out, COPYRIGHT_LINE, "\n")).otherwise(out)
     out = F.concat(F.lit(" "), F.regexp_replace(out, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), F.lit(" "))
+    found = F.rlike(out, F.lit(" (?:" + "|".join(one for one, _ in SPELLINGS) + ") "))
+    respelt = out
     for one, other in SPELLINGS:
-        out = F.replace(out, F.lit(f" {one} "), F.lit(f" {other} "))
-    return F.trim(out)
+        respelt = F.replace(respelt, F.lit(f" {one} "), F.lit(f" {other} "))
+    return F.trim(F.when(found, respelt).otherwise(out))
 
 
 def scan_licences(docs: DataFrame, known: dict[str, list[str]] | None = None) -> DataFrame:
@@ -51,7 +57,7 @@ def scan_licences(docs: DataFrame, known: dict[str, list[str]] | None = None) ->
     entries = [(name, text) for name, texts in (KNOWN if known is None else known).items() for text in texts]
     listed = spark.createDataFrame(entries, "licence string, text string").select("licence", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("licence").alias("licence"))
     texts = ids_and_text(docs)
-    lines = texts.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("whole"), F.explode(F.split("text", "\n")).alias("line"))
+    lines = texts.select("doc_id", "text", F.sha2(canonical(F.col("text")), 256).alias("whole")).select("doc_id", "whole", F.explode(F.split("text", "\n")).alias("line"))
     lines = lines.select("doc_id", "whole", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(F.broadcast(listed), "digest", "left")
     found = lines.groupBy("doc_id", "whole").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("line_licences"))
     return found.withColumnRenamed("whole", "digest").join(F.broadcast(listed), "digest", "left").select("doc_id", "digest", "licence", "line_licences")

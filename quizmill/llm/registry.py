@@ -4,26 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
 from . import licences
 from .common import table
 from .decontaminate import contamination
+from .language import fit_languages, predict_languages
 from .licences import scan_licences
 from .near_dup import near_duplicates
+from .neighbours import nearest
+from .packing import pack
+from .quality import resample
 from .shards import assign_shards
 from .suffix_dedup import remove_repeats
+from .toxicity import fit_toxicity, tag_toxicity
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels.where(remainder(3) != 1))
+    held_out = F.coalesce(remainder(3) == 1, F.lit(False))
+    score = F.col("score")
+    return tag_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", F.when(score >= 0.7, 1).otherwise(0).alias("predicted"), F.size("spans").cast("long").alias("n_spans"))
+
+
+def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def remainder(n: int) -> Column:
+    """crc32 of doc_id as text, modulo n: the fold of a document."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(5) == 0, F.lit(False))
+    model = fit_languages(docs.where(~held_out).select("doc_id", "text", "lang"))
+    return predict_languages(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 

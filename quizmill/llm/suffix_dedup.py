@@ -21,12 +21,13 @@ independent 64-bit digests of the same bytes.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .bytesets import Rolling, flat, pieces
 from .common import Shelf
@@ -201,14 +202,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 removed.append(0)
                 spans.append(0)
         yield pa.record_batch(
-            [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+            [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), batch.column("carried")],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "carried"],
         )
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT, block: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT, block: int = BLOCK_BYTES, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay): texts as UTF-8 without their repeated strings.
 
+    ``carry``: further columns of docs to hand through, as fields of a column ``carried``.
+
     A byte goes if a string of ``length`` bytes over it also starts elsewhere, in the same text or another; strings
     never cross texts and are judged on the input. Null and empty texts have no bytes and stay; texts under
     ``length`` bytes lose nothing; repeated rows repeat each other; an empty table gives no rows; extra columns are
@@ -217,7 +220,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GRO
     """
     shelf = Shelf(docs.sparkSession, "suffix-dedup")
     k = gram_length(length)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), F.struct(F.lit(True).alias("_row"), *carry).alias("carried"))
+    texts = rows.drop("carried")
     named = texts.where("doc_id is not null")
     anchors = named.mapInArrow(_anchors(length), "gram long, context long, doc_id long, at long, size long")
     grams = shelf.put(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("uses"), (F.min("context") < F.max("context")).alias("several")).where("uses > 1").drop("uses"))
@@ -242,5 +246,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GRO
         spans = spans.union(windows.where("times = 1").join(again, ["gram", "column", "one", "two"], "left_semi").select("doc_id", "start", (F.col("start") + length).alias("stop")))
     per_doc = shelf.put(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
     shelf.drop(found, contexts, members, crowded)
-    return texts.join(per_doc, "doc_id", "left").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").add(rows.schema["carried"])
+    return rows.join(per_doc, "doc_id", "left").mapInArrow(_cut, schema)
 

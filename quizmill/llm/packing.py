@@ -7,6 +7,7 @@ the n-th piece of its length went. The result is that of placing all pieces one
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -15,59 +16,115 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytesets import _WHITE, Rolling, flat, pieces, word_spans
+from .bytesets import _LOWER, _WHITE, Rolling, flat, pieces, word_spans
 from .common import Shelf
 
 CAPACITY = 4096
 END = 1
 SALTS = 64
-CACHE = 1_000_000
+#: Pre-tokens remembered by a Python worker; beyond, it forgets all and starts anew.
+CACHE = 2_000_000
 _loaded: dict[str, WordIds] = {}
 
 
+# What the tokenizer's pre-tokenizer tells apart, by byte: white space, letters, digits, others. Fixed values.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[_WHITE] = 0
+_KIND[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = 1
+_KIND[[*range(ord("0"), ord("9") + 1)]] = 2
+_ODD = np.zeros(256, bool)  # control characters, and the apostrophe of contractions
+_ODD[[*range(0x09), *range(0x0E, 0x20), 0x7F, ord("'")]] = True
+
+
+def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text of the spans that are tokenised apart, and whether a span is certainly one pre-token.
+
+    Chunks between ASCII white space split into letter runs, single digits and runs of other characters. A chunk that
+    holds an apostrophe, a control character or anything beyond ASCII but the letters U+00C0 to U+00FF stays whole.
+    """
+    begin, end, row = word_spans(data, offsets, ~_WHITE)
+    after, before = np.append(data[1:], 0), np.append(0, data[:-1])
+    letter = lambda x: (x >= 0x80) & (x <= 0xBF) & (x != 0x97) & (x != 0xB7)  # noqa: E731  second byte of such a letter
+    odd = _ODD[data] | ((data >= 0x80) & ~((data == 0xC3) & letter(after)) & ~(letter(data) & (before == 0xC3)))
+    total = np.append(0, np.cumsum(odd))
+    whole = total[end] > total[begin]
+    kind = _KIND[data]
+    edge = (kind != 0) & ((kind == 2) | (kind != np.append(0, kind[:-1])))
+    step = np.zeros(len(data) + 1, np.int8)
+    step[begin[whole]] += 1
+    step[end[whole]] -= 1
+    edge &= np.cumsum(step[:-1]) == 0
+    edge[begin] = True
+    start = np.flatnonzero(edge)
+    chunk = np.searchsorted(begin, start, "right") - 1
+    return start, np.minimum(np.append(start[1:], len(data)), end[chunk]), row[chunk], ~whole[chunk]
+
+
 class WordIds:
-    """Token ids by chunk between ASCII white space, remembered by the chunk's hash.
+    """Token ids by pre-token, remembered by its hash: the tokenizer merges nothing across pre-tokens.
 
-    The tokenizer drops white space and merges nothing across it, so a text's ids are its chunks' ids in a row.
+    New pre-tokens are tokenised many at a time and told apart by the ids that end a word.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        suffix = "</w>"
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.start, self.length, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def learn(self, keys: np.ndarray, chunks: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        length = np.array([len(x) for x in got], np.int64)
+        self.keys, self.start, self.length, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def _apart(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32) for w in words]
+
+    def learn(self, keys: np.ndarray, words: list[str], single: np.ndarray) -> None:
+        ids, lengths, order = [], [], []
+        one = np.flatnonzero(single)
+        for at in np.split(one, range(1000, len(one), 1000)):
+            got = np.array(self.tokenizer.encode(" ".join(words[i] for i in at), add_special_tokens=False).ids, np.uint32)
+            stop = np.flatnonzero(self.ends[got]) + 1
+            if len(stop) == len(at) and (not len(got) or stop[-1] == len(got)):
+                lengths.append(np.diff(stop, prepend=0))
+            else:
+                each = self._apart([words[i] for i in at])
+                got = np.concatenate([np.zeros(0, np.uint32), *each])
+                lengths.append(np.array([len(x) for x in each], np.int64))
+            ids.append(got)
+            order.append(at)
+        rest = np.flatnonzero(~single)
+        each = self._apart([words[i] for i in rest])
+        length = np.concatenate([*lengths, np.array([len(x) for x in each], np.int64)])
         start = len(self.ids) + np.cumsum(length) - length
-        self.ids = np.concatenate([self.ids, np.array([i for x in got for i in x], np.uint32)])
-        keys, start, length = np.concatenate([self.keys, keys]), np.concatenate([self.start, start]), np.concatenate([self.length, length])
-        order = np.argsort(keys)
-        self.keys, self.start, self.length = keys[order], start[order], length[order]
+        self.ids = np.concatenate([self.ids, *ids, *each])
+        keys = keys[np.concatenate([*order, rest]).astype(np.int64)]
+        by = np.argsort(keys)
+        place = np.searchsorted(self.keys, keys[by])
+        self.keys, self.start, self.length = (np.insert(old, place, new[by]) for old, new in ((self.keys, keys), (self.start, start), (self.length, length)))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and the offsets of each text's own."""
         data, offsets = flat(texts)
-        begin, end, row = word_spans(data, offsets, ~_WHITE)
+        data = _LOWER[data]
+        begin, end, row, single = parts(data, offsets)
         rows = len(offsets) - 1
         if not len(begin):
             return np.zeros(0, np.uint32), np.zeros(rows + 1, np.int64)
         if len(self.keys) > CACHE:
             self.forget()
-        hashes = Rolling(data).ranges(begin, end)
-        keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        keys, first, which = np.unique(Rolling(data).ranges(begin, end), return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         new = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
         if new.any():
-            self.learn(keys[new], [data[begin[i] : end[i]].tobytes().decode("utf-8") for i in first[new]])
+            self.learn(keys[new], [data[begin[i] : end[i]].tobytes().decode("utf-8", "replace") for i in first[new]], single[first[new]])
             at = np.searchsorted(self.keys, keys)
         at = at[which]
-        length = self.length[at]
+        length = self.length[at].astype(np.int64)
         stop = np.cumsum(length)
         place = np.repeat(self.start[at] - (stop - length), length) + np.arange(stop[-1])
         return self.ids[place], np.append(0, stop)[np.searchsorted(row, np.arange(rows + 1))]
@@ -76,7 +133,7 @@ class WordIds:
 def _pieces(path: str, capacity: int, with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _loaded[path] = _loaded.get(path) or WordIds(path)
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=1 << 20):
             ids, bounds = words.encode(batch.column("text"))
             number, start, length, crc, own, doc = [], [], [], [], [], []
             for i, a, b in zip(batch.column("doc_id").to_pylist(), bounds[:-1], bounds[1:], strict=True):

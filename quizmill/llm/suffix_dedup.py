@@ -7,7 +7,8 @@ loss, into short aligned members:
 1. Every window of LENGTH bytes picks an anchor, the leftmost least hash among its GRAM-byte grams. Equal windows pick
    equal grams at equal offsets, so two windows can only be equal if their anchors' grams are; unmatched anchors go.
 2. An anchor's context holds all windows that can have picked it (at most 2 * LENGTH - GRAM bytes). Equal contexts are
-   counted before any shuffle of their bytes: all their windows repeat. The other contexts of a gram are its members.
+   counted before any shuffle of their bytes, first within each text: all their windows repeat. The other contexts of
+   a gram are its members.
 3. Members of a gram are aligned at the anchor. From the last column to the first, each round inserts one symbol per
    member: a stable sort by the new symbol keeps the members in the order of their suffixes, and the common prefixes of
    neighbours follow from range minima over the old ones (the positional form of the transform, in which only aligned
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .bytesets import Rolling, flat, pieces
+from .bytesets import Rolling, flat, mix, pieces
 from .common import Shelf
 
 LENGTH = 200
@@ -64,6 +65,14 @@ def anchor_positions(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
+def _merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(starts, kind="stable")
+    starts, stops = starts[order], np.maximum.accumulate(stops[order])
+    new = np.ones(len(starts), bool)
+    new[1:] = starts[1:] > stops[:-1]
+    return starts[new], stops[np.append(new[1:], True)]
+
+
 def _anchors(length: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = gram_length(length)
@@ -82,8 +91,22 @@ def _anchors(length: int) -> Callable:
             at, row = np.concatenate(at), np.concatenate(row)
             low, high = np.maximum(at - (length - k), offsets[row]), np.minimum(at + length, offsets[row + 1])
             context = other.ranges(low, high) * np.uint64(0x9E3779B97F4A7C15) + (at - low).astype(np.uint64)
-            ids = batch.column("doc_id").to_numpy()[row]
-            yield pa.record_batch([pa.array(grams[at].view(np.int64)), pa.array(context.view(np.int64)), pa.array(ids), pa.array((at - offsets[row])), pa.array((offsets[row + 1] - offsets[row]))], names=["gram", "context", "doc_id", "at", "size"])
+            ids = batch.column("doc_id").to_numpy()
+            gram, own = grams[at], offsets[row]
+            order = np.lexsort((at, context, gram, row))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(row[order]) != 0) | (gram[order][1:] != gram[order][:-1]) | (context[order][1:] != context[order][:-1])
+            first = order[new]
+            times = np.diff(np.append(np.flatnonzero(new), len(order)))
+            yield pa.record_batch([pa.array(gram[first].view(np.int64)), pa.array(context[first].view(np.int64)), pa.array(ids[row[first]]), pa.array((at - own)[first]), pa.array((offsets[row + 1] - own)[first]), pa.array(times)], names=["gram", "context", "doc_id", "at", "size", "times"])
+            again = order[np.repeat(times > 1, times)]  # contexts that repeat within their text, as periodic ones do
+            if len(again):
+                start, stop = _merged(low[again] + row[again], high[again] + row[again])  # texts one apart, so that none join
+                inside = np.searchsorted(offsets + np.arange(len(offsets)), start, "right") - 1
+                start, stop = start - inside, stop - inside
+                spread = mix(np.arange(len(start), dtype=np.uint64) + ids[inside].astype(np.uint64)).view(np.int64)
+                none = np.zeros(len(start), np.int64)
+                yield pa.record_batch([pa.array(spread), pa.array(none), pa.array(ids[inside]), pa.array(start - offsets[inside]), pa.array(stop - offsets[inside]), pa.array(none)], names=["gram", "context", "doc_id", "at", "size", "times"])
 
     return run
 
@@ -175,14 +198,6 @@ def _digests(length: int) -> Callable:
     return run
 
 
-def _merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(starts, kind="stable")
-    starts, stops = starts[order], np.maximum.accumulate(stops[order])
-    new = np.ones(len(starts), bool)
-    new[1:] = starts[1:] > stops[:-1]
-    return starts[new], stops[np.append(new[1:], True)]
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         data, offsets = flat(batch.column("text"))
@@ -223,14 +238,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GRO
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), F.struct(F.lit(True).alias("_row"), *carry).alias("carried"))
     texts = rows.drop("carried")
     named = texts.where("doc_id is not null")
-    anchors = named.mapInArrow(_anchors(length), "gram long, context long, doc_id long, at long, size long")
-    grams = shelf.put(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("uses"), (F.min("context") < F.max("context")).alias("several")).where("uses > 1").drop("uses"))
-    found = shelf.put(anchors.join(grams, "gram"))
+    # rows of times 0 are spans (at to size) already known; others stand for all equal contexts in their text
+    anchors = named.mapInArrow(_anchors(length), "gram long, context long, doc_id long, at long, size long, times long")
+    grams = shelf.put(anchors.where("times > 0").groupBy("gram").agg(F.sum("times").alias("uses"), (F.min("context") < F.max("context")).alias("several")).where("uses > 1").drop("uses"))
+    found = shelf.put(anchors.join(grams, "gram", "left").where("times = 0 or several is not null"))
     shelf.drop(grams)
-    contexts = shelf.put(found.where("several").groupBy("gram", "context").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "at", "size")).alias("one")))
+    within, found = found.where("times = 0"), found.where("times > 0")
+    contexts = shelf.put(found.where("several").groupBy("gram", "context").agg(F.sum("times").alias("times"), F.min(F.struct("doc_id", "at", "size")).alias("one")))
     low, high = F.greatest(F.col("at") - F.lit(length - k), F.lit(0)), F.least(F.col("at") + F.lit(length), F.col("size"))
     whole = lambda rows: rows.select("doc_id", low.alias("start"), high.alias("stop"))
-    equal = whole(found.where("not several")).union(whole(found.where("several").join(contexts.where("times > 1").select("gram", "context"), ["gram", "context"], "left_semi")))
+    equal = within.select("doc_id", F.col("at").alias("start"), F.col("size").alias("stop")).union(whole(found.where("not several"))).union(whole(found.where("several").join(contexts.where("times > 1").select("gram", "context"), ["gram", "context"], "left_semi")))
 
     sliced = contexts.select("gram", "times", "one.*").join(texts, "doc_id").select(
         "gram", "times", "doc_id", "at", (F.col("at") - low).alias("before"), F.substring(F.col("text"), (low + 1).cast("int"), (high - low).cast("int")).alias("bytes")
@@ -245,7 +262,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GRO
         again = windows.groupBy("gram", "column", "one", "two").agg(F.sum("times").alias("uses")).where("uses > 1").drop("uses")
         spans = spans.union(windows.where("times = 1").join(again, ["gram", "column", "one", "two"], "left_semi").select("doc_id", "start", (F.col("start") + length).alias("stop")))
     per_doc = shelf.put(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
-    shelf.drop(found, contexts, members, crowded)
+    shelf.drop(contexts, members, crowded)
     schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").add(rows.schema["carried"])
     return rows.join(per_doc, "doc_id", "left").mapInArrow(_cut, schema)
 

@@ -45,6 +45,10 @@ def _windows(worded: DataFrame, key: str, length: int) -> DataFrame:
     return worded.where(F.size("words") >= length).select(key, F.explode_outer(each).alias("w")).select(key, "w.at", "w.window")
 
 
+def _runs(length: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size("words") - length), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("words", i + 1, length))))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted as strings; those with occurring windows), contaminated.
 
@@ -71,8 +75,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = B
     for n in lengths:
         if n < WINDOW:
             known = shelf.put(windows.where(F.col("length") == n).select(F.xxhash64("window").alias("h")).distinct())
-            runs = F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i, n=n: F.xxhash64(F.concat_ws(" ", F.slice("words", i + 1, n))))
-            found = worded.where(F.size("words") >= n).select("doc_id", F.explode_outer(F.array_distinct(runs)).alias("h"))
+            found = worded.where(F.size("words") >= n).select("doc_id", F.explode_outer(F.array_distinct(_runs(n))).alias("h"))
             ids = ids.union(found.join(F.broadcast(known) if known.count() <= broadcast_rows else known, "h", "left_semi").select("doc_id"))
     ids = shelf.put(ids.where("doc_id is not null").distinct())
     close = _worded(keep_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, broadcast_rows), "doc_id")

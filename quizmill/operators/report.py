@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import or_empty, plain_text
@@ -66,3 +66,16 @@ def preview_images(questions: DataFrame, assets: DataFrame) -> DataFrame:
 
 def group_previews(groups: DataFrame) -> DataFrame:
     return groups.select("run_id", "item_seq", "id", "kind", "title", plain_text(F.col("context")).alias("context_text"), "question_ids")
+
+
+def attach_notes(notes: DataFrame, items: DataFrame) -> DataFrame:
+    """Notes on a document go to the first item at or after them that did not fail; notes after the last such item are lost.
+
+    notes: run_id, noted_at, code; items: run_id, item_seq, failed. One window per run over both, no join by range.
+    """
+    null = lambda t: F.lit(None).cast(t)
+    own = items.select("run_id", F.col("item_seq").alias("seq"), null("string").alias("code"), F.when(~F.col("failed"), F.col("item_seq")).alias("target"))
+    rows = notes.select("run_id", F.col("noted_at").alias("seq"), "code", null("int").alias("target")).union(own)
+    later = Window.partitionBy("run_id").orderBy(F.col("seq"), F.col("code").isNull()).rowsBetween(0, Window.unboundedFollowing)
+    found = rows.withColumn("item_seq", F.first("target", ignorenulls=True).over(later))
+    return found.where("code is not null and item_seq is not null").select("run_id", "item_seq", F.col("seq").alias("noted_at"), "code")

@@ -1,7 +1,7 @@
 """Validation rules. Row rules make one array per question in one projection; rules across items are joins.
 
-A rule of one's own is a function from a question's columns to an array of (severity, code, args), given to
-``row_issues``; a rule over a whole run is any DataFrame with the columns of ``ISSUES``.
+A rule of one's own is a function from a question's columns to an array of (severity, code, args, what), given to
+``row_issues``; ``what`` names the sentence (``messages``), by default the code; a rule over a whole run is any DataFrame with the columns of ``ISSUES``.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ ISSUES = ("run_id", "item_seq", "rule", "n", "severity", "code", "args")
 Rule = Callable[[], Column]
 
 
-def issue(code: str, when: Column, args: Column | None = None, severity: str = "warning") -> Column:
+def issue(code: str, when: Column, args: Column | None = None, severity: str = "warning", what: str | None = None) -> Column:
     """An array of one issue where ``when`` holds, else an empty one."""
-    one = F.array(F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), (F.array().cast("array<string>") if args is None else args).alias("args")))
+    one = F.array(F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), (F.array().cast("array<string>") if args is None else args).alias("args"), F.lit(what or code).alias("what")))
     return F.when(when, one).otherwise(F.slice(one, 1, 0))
 
 
@@ -55,18 +55,18 @@ def choice_answers() -> Column:
         issue("duplicate_option_ids", choice & (F.size(repeats(ids)) > 0), repeats(ids)),
         issue("missing_correct_answer", choice & (n == 0)),
         issue("invalid_answer_reference", choice & (n > 0) & (F.size(lost) > 0), lost),
-        issue("answer_count_mismatch", choice & (F.col("type") == "single_choice") & (n > 1), F.array(n.cast("string"))),
-        issue("answer_count_mismatch", choice & (F.col("type") == "true_false") & (F.size(ids) != 2), F.array(F.size(ids).cast("string"))),
-        issue("answer_count_mismatch", choice & (F.col("type") == "true_false") & (n > 1), F.array(n.cast("string"))),
+        issue("answer_count_mismatch", choice & (F.col("type") == "single_choice") & (n > 1), F.array(n.cast("string")), what="single_choice_answers"),
+        issue("answer_count_mismatch", choice & (F.col("type") == "true_false") & (F.size(ids) != 2), F.array(F.size(ids).cast("string")), what="true_false_options"),
+        issue("answer_count_mismatch", choice & (F.col("type") == "true_false") & (n > 1), F.array(n.cast("string")), what="true_false_answers"),
     )
 
 
 def ordering_answers() -> Column:
     ids, order, mine = ids_of(_q("items")), or_empty(_q("correct_order")), _is("ordering")
     return F.concat(
-        issue("invalid_ordering", mine & (F.size(repeats(ids)) > 0), repeats(ids)),
-        issue("missing_correct_answer", mine & (F.size(order) == 0)),
-        issue("invalid_ordering", mine & (F.size(order) > 0) & ~same_list(order, ids)),
+        issue("invalid_ordering", mine & (F.size(repeats(ids)) > 0), repeats(ids), what="ordering_repeats"),
+        issue("missing_correct_answer", mine & (F.size(order) == 0), what="ordering_empty"),
+        issue("invalid_ordering", mine & (F.size(order) > 0) & ~same_list(order, ids), what="ordering_not_once"),
     )
 
 
@@ -75,10 +75,10 @@ def _pairing(kind: str, code: str, left: str, right: str, pairs: str, sides: tup
     side = [or_empty(_q(pairs)[s]) for s in sides]
     twice = F.concat(repeats(one), repeats(two))
     return F.concat(
-        issue(code, mine & (F.size(twice) > 0), twice),
-        issue("missing_correct_answer", mine & (F.size(side[0]) == 0)),
-        issue(code, mine & (F.size(unknown(side[0], one)) > 0), unknown(side[0], one)),
-        issue(code, mine & (F.size(unknown(side[1], two)) > 0), unknown(side[1], two)),
+        issue(code, mine & (F.size(twice) > 0), twice, what=f"{kind}_repeats"),
+        issue("missing_correct_answer", mine & (F.size(side[0]) == 0), what=f"{kind}_empty"),
+        issue(code, mine & (F.size(unknown(side[0], one)) > 0), unknown(side[0], one), what=f"{kind}_left"),
+        issue(code, mine & (F.size(unknown(side[1], two)) > 0), unknown(side[1], two), what=f"{kind}_right"),
     )
 
 
@@ -94,9 +94,9 @@ def blank_answers() -> Column:
     blanks, mine = _q("blanks"), _is("fill_in_blank")
     ids = or_empty(F.transform(blanks, lambda b: b["id"]))
     bare = or_empty(F.transform(F.filter(blanks, lambda b: F.size(or_empty(b["accepted"])) == 0), lambda b: b["id"]))
-    each = F.transform(F.when(mine, bare).otherwise(F.slice(bare, 1, 0)), lambda x: F.struct(F.lit("warning").alias("severity"), F.lit("missing_correct_answer").alias("code"), F.array(x).alias("args")))
+    each = F.transform(F.when(mine, bare).otherwise(F.slice(bare, 1, 0)), lambda x: F.struct(F.lit("warning").alias("severity"), F.lit("missing_correct_answer").alias("code"), F.array(x).alias("args"), F.lit("blank_unanswered").alias("what")))
     return F.concat(
-        issue("missing_correct_answer", mine & (F.size(ids) == 0)),
+        issue("missing_correct_answer", mine & (F.size(ids) == 0), what="blanks_empty"),
         issue("duplicate_blank_ids", mine & (F.size(repeats(ids)) > 0), ids),
         each,
     )
@@ -109,10 +109,10 @@ ROW_RULES: tuple[Rule, ...] = (missing_label, empty_stem, type_mismatch, choice_
 def with_issues(questions: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     """The questions and a column ``issues``; rules None: the defaults, empty: none."""
     def numbered(n: int, rule: Rule) -> Column:
-        return F.transform(rule(), lambda x: F.struct(F.lit(n).alias("rule"), x["severity"].alias("severity"), x["code"].alias("code"), x["args"].alias("args")))
+        return F.transform(rule(), lambda x: F.struct(F.lit(n).alias("rule"), x["severity"].alias("severity"), x["code"].alias("code"), x["args"].alias("args"), x["what"].alias("what")))
 
     found = [numbered(n, r) for n, r in enumerate(ROW_RULES if rules is None else rules)]
-    none = F.array().cast("array<struct<rule: int, severity: string, code: string, args: array<string>>>")
+    none = F.array().cast("array<struct<rule: int, severity: string, code: string, args: array<string>, what: string>>")
     return questions.withColumn("issues", F.concat(*found) if found else none)
 
 

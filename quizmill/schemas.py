@@ -19,4 +19,5 @@ QUESTION_TYPES = ("single_choice", "multiple_choice", "true_false", "drag_and_dr
 KIND_OF_TYPE = {"single_choice": "choice", "multiple_choice": "choice", "true_false": "choice", "drag_and_drop": "drag_and_drop", "matching": "matching", "ordering": "ordering", "fill_in_blank": "fill_in_blank"}
 GROUP_KINDS = ("scenario", "case_study")
 EXTENSIONS = {"image/png": ".png", "image/jpeg": ".jpg", "image/gif": ".gif", "image/bmp": ".bmp", "image/tiff": ".tiff"}
+SERVED_TYPES = {".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".gif": "image/gif"}
 FORMAT_VERSION = "1.0"

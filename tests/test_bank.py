@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quizmill.functions import text
-from quizmill.operators import grading, lines, normalize, rules
-from quizmill.plans import queries
+from quizmill.operators import grading, lines, messages, normalize, report, rules
+from quizmill.plans import queries, reporting  # noqa: F401, the latter registers its queries
 from quizmill.schemas import ASSET, GROUP
-from quizmill.sources import authoring, bundle
+from quizmill.sources import authoring, bundle, registry
 from quizmill.streaming.ingest import reviewed
 from quizmill.plans.bindings import bank, bank_groups
 
@@ -132,3 +132,30 @@ def test_bundle_round_trip_and_stream(spark, tmp_path):
     stream.awaitTermination()
     want = rules.with_issues(questions).where("size(issues) > 0").count()
     assert spark.table("reviewed").where("status = 'needs_review'").count() == want
+
+
+@pytest.mark.parametrize("raw", ["plain", "it's", 'say "x"', """it's "x\"""", "back\\slash", "a\tb\nc\rd", ""])
+def test_quoting_equals_repr(spark, raw):
+    assert spark.range(1).select(messages.quoted(F.lit(raw)), messages.quoted_list(F.array(F.lit(raw), F.lit("b")))).first() == (repr(raw), repr([raw, "b"]))
+
+
+def test_sentences_of_own_rules(spark):
+    row = spark.range(1).select(messages.sentence(F.lit("mine"), F.array(F.lit("x"))), messages.sentence(F.lit("unknown_group"), F.array().cast("array<string>"))).first()
+    assert row == ("mine: ['x']", "question references unknown group ''")
+
+
+def test_notes_reach_the_next_item_that_did_not_fail(spark):
+    items = spark.createDataFrame([("r", 1, True), ("r", 2, False), ("r", 3, True), ("s", 1, False)], "run_id string, item_seq int, failed boolean")
+    notes = spark.createDataFrame([("r", 1, "a"), ("r", 2, "b"), ("r", 3, "lost"), ("s", 0, "c")], "run_id string, noted_at int, code string")
+    assert {(r.code, r.run_id, r.item_seq) for r in report.attach_notes(notes, items).collect()} == {("a", "r", 2), ("b", "r", 2), ("c", "s", 1)}
+
+
+def test_registry(spark, tmp_path):
+    (tmp_path / "a.JSON").write_text(json.dumps(DOC))
+    assert registry.open_documents(spark, str(tmp_path / "a.JSON")).count() == 1
+    assert registry.open_documents(spark, str(tmp_path), "json").count() == 1
+    for path, name in (("a.pdf", None), ("a.txt", None), ("a.json", "xml")):
+        with pytest.raises(registry.UnsupportedFormatError):
+            registry.open_documents(spark, path, name)
+    names = spark.createDataFrame([("a.JPEG", "image/jpeg"), ("a", "application/octet-stream"), ("a.gif", "image/gif")], "name string, want string")
+    assert names.where(normalize.served_type(F.col("name")) != F.col("want")).isEmpty()

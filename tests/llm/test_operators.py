@@ -227,6 +227,38 @@ def test_neighbours(spark):
     assert hits / (20 * 45) >= 0.9
 
 
+def exact_share(got, points, queries, k):
+    hits = 0
+    for q in queries:
+        score = points @ points[q]
+        score[q] = -np.inf
+        hits += len(set(np.lexsort((np.arange(len(points)), -score))[:k]) & set(got[got.query_id == q].vec_id))
+    return hits / (k * len(queries))
+
+
+@pytest.mark.parametrize("norms", ["outlier", "lognormal"])
+def test_neighbours_of_uneven_norms(spark, norms):
+    rnd = np.random.default_rng(6)
+    points = rnd.standard_normal((3000, 64))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    if norms == "outlier":
+        points[11] *= 100
+    else:
+        points *= rnd.lognormal(0, 1, (3000, 1))
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, block=1000, group=64).toPandas()
+    assert set(got.groupby("query_id").size()) == {20} and got.query_id.nunique() == 150
+    assert exact_share(got, points, range(0, 3000, 20), 20) >= 0.95
+
+
+def test_short_queries_are_searched_exactly(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "fit_reach", lambda ids, sample, tops, k: np.full(len(tops), -1.0))  # visits nothing
+    points = np.random.default_rng(7).standard_normal((300, 8))
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, block=100, group=8).toPandas()
+    assert exact_share(got, points, range(0, 300, 20), 20) == 1
+
+
 def test_few_or_no_neighbours(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in neighbours.nearest(few, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(0, 1, 2), (0, 2, 1)]

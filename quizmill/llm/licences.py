@@ -1,7 +1,13 @@
-"""Licence scans: canonical digests of whole texts, and of their lines, hash-joined to those of known licences."""
+"""Licence scans: canonical digests of whole texts, and of their lines, hash-joined to those of known licences.
+
+Whole texts have a second digest, of their body: without copyright statements (but with lines of the licence that happen
+to start with the word), titles, list marks and holders' names, so that line breaks and headings don't decide.
+"""
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,9 +52,49 @@ def canonical(text: Column) -> Column:
     return F.trim(F.when(found, respelt).otherwise(out))
 
 
+#: Real copyright statements: a sign, a year or a holder's name follows; not 'copyright notice' or 'copyright holders'.
+STATEMENT = (
+    r"(?:^|\n)[ \t*#/;!%-]*(?:(?i:(?:portions[ \t]+)?copyright[ \t:]*(?:\(c\)|©|\d|[<\[{]))|(?i:\(c\)[ \t]*(?:copyright|\d|[<\[{]))|©"
+    r"|(?:Copyright|COPYRIGHT)[ \t]+(?!(?i:notices?|holders?|owners?|licen[cs]es?|laws?|and|or|in|is|as|to|of|by|statements?|interests?|rights?|protection|disclaimers?|treaty|acts?|ownership|permissions?|status|materials?|works?|information|infringement|with|for|on|that|which|shall|will|may|can|under|related)\b)[A-Z])[^\n]*"
+    r"|(?:^|\n)[ \t*#/;!%-]*(?i:all rights reserved)[ \t.\r]*(?=\n|$)"
+)
+#: Titles in front of a body, in its canonical form.
+TITLES = r"^ (?:(?:the )?(?:(?:mit|expat|mit expat|isc|zlib|zlib libpng|unlicense|(?:new |modified |simplified |revised )?bsd(?: [23] clause)?(?: new| revised| simplified| new or revised)?) license(?: (?:mit|expat|isc|zlib|bsd [23] clause|freebsd))?) )+"
+# What differs between the usual forms of one text.
+FORMS = (
+    (r" neither the names? of .{1,200}? nor the names? of (?:its |any |their |other )*contributors ", " neither name nor contributors "),
+    (r" (?:[1-4]|[abc]|i{1,3}) (redistributions? (?:of source|in binary)|neither name nor) ", " $1 "),
+    (r" the (?:copyright holders?|regents|authors?) (and|or) contributors ", " the copyright holder $1 contributors "),
+    (r" [1-3] (the origin|altered source|this notice) ", " $1 "),
+    (" acknowledgement ", " acknowledgment "),
+    (r" https(?= )", " http"),
+    (" including the next paragraph ", " "),
+    (r" (?:59 temple place|51 franklin st(?:reet)?|675 mass ave)[a-z0-9 ]{0,60}? usa ", " "),
+)
+TEXTS = Path(__file__).with_name("licence_texts")
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the files in licence_texts; those with an appendix after their terms also without it."""
+    found = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(TEXTS.glob("*.txt"))]
+    return found + [(name, text[: text.index(TERMS_END) + len(TERMS_END)]) for name, text in found if TERMS_END in text]
+
+
+def body(text: Column) -> Column:
+    """The canonical text without what differs between copies of one licence: statements, titles, list marks, names."""
+    out = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.regexp_replace(text, STATEMENT, "\n")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), F.lit(" "))
+    for one, other in SPELLINGS:
+        out = F.replace(out, F.lit(f" {one} "), F.lit(f" {other} "))
+    for pattern, other in FORMS:
+        out = F.regexp_replace(out, pattern, other)
+    return F.trim(F.regexp_replace(F.regexp_replace(out, " +", " "), TITLES, " "))
+
+
 def scan_licences(docs: DataFrame, known: dict[str, list[str]] | None = None) -> DataFrame:
     """doc_id, digest (SHA-256 of the canonical text), licence (whose whole text it is, else null), line_licences.
 
+    licence goes by the digest, else by that of the body, among the known texts and (without ``known``) ``full_texts``.
     line_licences: the sorted, comma-joined licences whose known text is one whole line ('' if none). Null texts are
     empty and match nothing; rows repeated as wholes come out once; extra columns are ignored; empty tables give no
     rows. The known licences, a table whose size the caller fixes, are all that is broadcast.
@@ -56,11 +102,15 @@ def scan_licences(docs: DataFrame, known: dict[str, list[str]] | None = None) ->
     spark = docs.sparkSession
     entries = [(name, text) for name, texts in (KNOWN if known is None else known).items() for text in texts]
     listed = spark.createDataFrame(entries, "licence string, text string").select("licence", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("licence").alias("licence"))
+    bodies = spark.createDataFrame(entries + (full_texts() if known is None else []), "by_body string, text string").select("by_body", body(F.col("text")).alias("body"))
+    bodies = bodies.where("body <> ''").groupBy(F.sha2("body", 256).alias("body")).agg(F.min("by_body").alias("by_body"))
     texts = ids_and_text(docs)
-    lines = texts.select("doc_id", "text", F.sha2(canonical(F.col("text")), 256).alias("whole")).select("doc_id", "whole", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.select("doc_id", "whole", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(F.broadcast(listed), "digest", "left")
-    found = lines.groupBy("doc_id", "whole").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("line_licences"))
-    return found.withColumnRenamed("whole", "digest").join(F.broadcast(listed), "digest", "left").select("doc_id", "digest", "licence", "line_licences")
+    lines = texts.select("doc_id", "text", F.sha2(canonical(F.col("text")), 256).alias("whole"), F.sha2(body(F.col("text")), 256).alias("body"))
+    lines = lines.join(F.broadcast(bodies), "body", "left").select("doc_id", "whole", "by_body", F.explode(F.split("text", "\n")).alias("line"))
+    lines = lines.select("doc_id", "whole", "by_body", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(F.broadcast(listed), "digest", "left")
+    found = lines.groupBy("doc_id", "whole").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("line_licences"), F.min("by_body").alias("by_body"))
+    found = found.withColumnRenamed("whole", "digest").join(F.broadcast(listed), "digest", "left")
+    return found.select("doc_id", "digest", F.coalesce("licence", "by_body").alias("licence"), "line_licences")
 
 
 def oracle_sql() -> str:

@@ -196,6 +196,25 @@ def test_licences(spark):
     assert got == {1: ("MIT", "MIT"), 2: (None, "MIT"), 3: (None, ""), 4: (None, ""), 5: (None, "")}
 
 
+def test_whole_licences_in_their_usual_forms(spark):
+    mit, isc = licences.KNOWN["MIT"][3].removeprefix("The MIT License "), licences.KNOWN["ISC"][1]
+    isc_wrapped = isc.replace("above copyright notice", "above\ncopyright notice").replace("WITH REGARD", "\nWITH REGARD")
+    mit_wrapped = mit.replace("OR COPYRIGHT HOLDERS", "OR\nCOPYRIGHT HOLDERS")
+    full = {name: (licences.TEXTS / f"{name}.txt").read_text() for name in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0", "CC0-1.0", "Zlib", "Unlicense")}
+    rows = [
+        ("MIT", "MIT License\n\nCopyright (c) 2021 A. Author\n\n" + mit_wrapped),
+        ("MIT", "Copyright A. Author\n\n" + mit_wrapped),
+        ("ISC", "Copyright (c) 2019, A. Author <a@example.org>\n\n" + isc_wrapped),
+        ("ISC", "ISC License\n\n© 2019 A. Author\nAll rights reserved.\n\n" + isc_wrapped),
+        *full.items(),
+        ("Apache-2.0", full["Apache-2.0"].split("APPENDIX")[0].replace("http:", "https:")),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\n" + full["BSD-3-Clause"].replace("the University", "Example, Inc.").replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ").replace("REGENTS", "COPYRIGHT HOLDERS")),
+        (None, full["BSD-2-Clause"] + " and more"), (None, isc_wrapped.replace("any purpose", "no purpose")), (None, "MIT License"), (None, "Copyright 2020 A. Author"),
+    ]
+    got = {r.doc_id: r.licence for r in licences.scan_licences(table(spark, [(i, t) for i, (_, t) in enumerate(rows)])).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(rows)}
+
+
 def test_licence_oracle(spark):
     import duckdb
 

@@ -36,17 +36,29 @@ _ODD = np.zeros(256, bool)  # control characters, and the apostrophe of contract
 _ODD[[*range(0x09), *range(0x0E, 0x20), 0x7F, ord("'")]] = True
 
 
-def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _holding(data: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Which bytes begin one of the texts."""
+    found, raw = np.zeros(len(data), bool), data.tobytes()
+    for text in texts:
+        at = raw.find(text)
+        while at >= 0:
+            found[at] = True
+            at = raw.find(text, at + 1)
+    return found
+
+
+def parts(data: np.ndarray, offsets: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text of the spans that are tokenised apart, and whether a span is certainly one pre-token.
 
     Chunks between ASCII white space split into letter runs, single digits and runs of other characters. A chunk that
-    holds an apostrophe, a control character or anything beyond ASCII but the letters U+00C0 to U+00FF stays whole.
+    holds an apostrophe, a control character or anything beyond ASCII but the letters U+00C0 to U+00FF stays whole, and so
+    does one with a byte that is ``kept``.
     """
     begin, end, row = word_spans(data, offsets, ~_WHITE)
     after, before = np.append(data[1:], 0), np.append(0, data[:-1])
     letter = lambda x: (x >= 0x80) & (x <= 0xBF) & (x != 0x97) & (x != 0xB7)  # noqa: E731  second byte of such a letter
     odd = _ODD[data] | ((data >= 0x80) & ~((data == 0xC3) & letter(after)) & ~(letter(data) & (before == 0xC3)))
-    total = np.append(0, np.cumsum(odd))
+    total = np.append(0, np.cumsum(odd | kept))
     whole = total[end] > total[begin]
     kind = _KIND[data]
     edge = (kind != 0) & ((kind == 2) | (kind != np.append(0, kind[:-1])))
@@ -63,7 +75,7 @@ def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class WordIds:
     """Token ids by pre-token, remembered by its hash: the tokenizer merges nothing across pre-tokens.
 
-    New pre-tokens are tokenised many at a time and told apart by the ids that end a word.
+    Ids are those of the tokenizer as loaded: an added token's text, such as <|endoftext|>, becomes that token. New pre-tokens are tokenised many at a time and told apart by the ids that end a word.
     """
 
     def __init__(self, path: str) -> None:
@@ -71,7 +83,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = sorted({t.content.encode().translate(bytes(_LOWER)) for t in self.tokenizer.get_added_tokens_decoder().values()} - {b""})
         suffix = "</w>"
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
@@ -110,8 +122,18 @@ class WordIds:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and the offsets of each text's own."""
         data, offsets = flat(texts)
-        data = _LOWER[data]
-        begin, end, row, single = parts(data, offsets)
+        low = _LOWER[data]
+        kept = _holding(low, self.added)
+        if kept.any():  # the tokenizer looks for added tokens in the text as it is: such chunks keep their case
+            begin, end, _ = word_spans(data, offsets, ~_WHITE)
+            total = np.append(0, np.cumsum(kept))
+            own = total[end] > total[begin]
+            step = np.zeros(len(data) + 1, np.int8)
+            step[begin[own]] += 1
+            step[end[own]] -= 1
+            low = np.where(np.cumsum(step[:-1]) > 0, data, low)
+        data = low
+        begin, end, row, single = parts(data, offsets, kept)
         rows = len(offsets) - 1
         if not len(begin):
             return np.zeros(0, np.uint32), np.zeros(rows + 1, np.int64)

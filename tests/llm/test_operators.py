@@ -152,6 +152,18 @@ def test_word_ids_equal_the_tokenizers():
         assert got[bounds[i] : bounds[i + 1]].tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_those_of_a_fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    texts = ["hi <|endoftext|> x", "a<|endoftext|>b, C<|startoftext|>D!<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <|EndOfText|>x", "é<|endoftext|>É it's", "<|endoftext|", "|> plain <|endoftext|>", "<|end oftext|> 12<|endoftext|>34"]
+    fresh, ids = Tokenizer.from_file(tokenizer_path()), packing.WordIds(tokenizer_path())
+    for _ in range(2):  # new and remembered
+        got, bounds = ids.encode(pa.array(texts))
+        for i, text in enumerate(texts):
+            assert got[bounds[i] : bounds[i + 1]].tolist() == fresh.encode(text, add_special_tokens=False).ids
+    assert 49407 in got
+
+
 def test_packing(spark, texts):
     capacity = 64
     rows = packing.pack(table(spark, texts), tokenizer_path(), capacity=capacity, with_ids=True).toPandas()

@@ -43,9 +43,10 @@ def _families(texts: pa.Array) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
     yield parts
     start, end, row = word_spans(_LOWER[data], offsets, ~_WHITE)
     words = Rolling(_LOWER[data]).ranges(start, end) if len(start) else np.zeros(0, np.uint64)
-    same = np.zeros(len(words) + 3, np.int64)
-    same[4:] = (words[1:] == words[:-1]) & (row[1:] == row[:-1])
-    pattern = same[3:] * 8 + same[2:-1] * 4 + same[1:-2] * 2 + same[:-3] if len(words) else np.zeros(0, np.int64)
+    same = np.append(False, (words[1:] == words[:-1]) & (row[1:] == row[:-1]))[: len(words)]
+    pattern = np.zeros(len(words), np.int64)
+    for j in range(4):  # flags of words further back count only within the text
+        pattern[j:] += (same[: max(len(words) - j, 0)] & (row[: max(len(words) - j, 0)] == row[j:])) << (3 - j)
     yield [(BUCKETS + pattern, np.searchsorted(row, np.arange(len(offsets))))]
 
 

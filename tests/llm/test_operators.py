@@ -359,6 +359,17 @@ def test_quality(spark):
     assert quality.resample(table(spark, docs), none).where("kept").count() == len(docs)
 
 
+def test_word_repeats_stop_at_the_start_of_a_text():
+    def patterns(texts):
+        (buckets, bounds), = list(quality._families(pa.array(texts)))[1]
+        return [(buckets[a:b] - quality.BUCKETS).tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    assert patterns(["a b c"]) == [[0, 0, 0]] and patterns(["x x x y x x x x x"]) == [[0, 8, 12, 6, 3, 9, 12, 14, 15]]
+    for texts in (["x x x x x", "a b c d"], ["x x", "a", "", "x x x", "a a b"]):
+        assert patterns(texts) == [patterns([t])[0] for t in texts]
+    assert patterns([""]) == [[]] and patterns(["a"]) == [[0]]
+
+
 def test_kth_largest(spark):
     rnd = random.Random(8)
     values = [rnd.choice([rnd.gauss(0, 1), rnd.gauss(1e6, 1), 3.0]) for _ in range(3000)]

@@ -6,9 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# What counts as white space at the ends of a text. Fixed values of the format.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
+
+
+def lstrip(c: Column) -> Column:
+    return F.ltrim(c, F.lit(WHITE))
+
+
+def rstrip(c: Column) -> Column:
+    return F.rtrim(c, F.lit(WHITE))
 
 
 def or_empty(c: Column, kind: str = "string") -> Column:
@@ -42,8 +54,9 @@ def same_selection(a: Column, b: Column) -> Column:
 
 def answer_letters(raw: Column) -> Column:
     """Option letters of an answer key, lower-cased, each once: those that stand alone, else a text of letters only."""
-    alone = F.regexp_extract_all(F.upper(raw), F.lit(r"\b([A-H])\b"), F.lit(1))
-    compact = F.regexp_replace(F.upper(raw), r"[\s,;/&+.-]", "")
+    # Fixed patterns of the format.
+    alone = F.regexp_extract_all(F.upper(raw), F.lit(r"(?U)\b([A-H])\b"), F.lit(1))
+    compact = F.regexp_replace(F.upper(raw), r"(?U)[\s,;/&+.-]", "")
     letters = F.when(F.size(alone) > 0, alone).when(compact.rlike("^[A-H]+$"), F.split(compact, "")).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.transform(letters, F.lower))
 

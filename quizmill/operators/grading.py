@@ -41,6 +41,16 @@ def empty_answer() -> Column:
     )
 
 
+def graded(questions: DataFrame, answers: DataFrame) -> DataFrame:
+    """answers (run_id, id, a learner's columns, answer) with ``answered`` and ``correct``; one to an unknown question is neither.
+
+    An equi-join by (run_id, id) that carries only the interactions.
+    """
+    joined = answers.join(questions.select("run_id", "id", "interaction"), ["run_id", "id"], "left")
+    flags = {"answered": F.coalesce(is_answered() & F.col("interaction").isNotNull(), F.lit(False)), "correct": F.coalesce(is_correct(), F.lit(False))}
+    return joined.withColumns(flags).drop("interaction", "answer")
+
+
 def scores(answers: DataFrame, key: str = "learner_id") -> DataFrame:
     """answers: ``key``, submitted, is_correct. Submitted and correct ones per key."""
     return answers.groupBy(key).agg(F.count_if("submitted").alias("submitted"), F.count_if(F.col("submitted") & F.col("is_correct")).alias("correct"))

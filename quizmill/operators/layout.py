@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,20 +31,21 @@ def outside_tables(lines: DataFrame, tables: DataFrame, slack: float = 2.0) -> D
 def cluster_rects(rects: DataFrame, gap: float = DEFAULT.cluster_gap) -> DataFrame:
     """Rectangles of a page within ``gap`` merged, one pass in order. rects: doc_id, page, rect_no, bbox.
 
-    The pass depends on order and is not a transitive closure, so a page is one group; pages are small.
+    Each rectangle joins all clusters it meets so far into one, which goes last. The pass depends on order and is not
+    a transitive closure, so a page's boxes, in order, are folded in one expression; a page must fit a row.
     """
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        found: list[list[float]] = []
-        for x0, y0, x1, y1 in pdf.sort_values("rect_no")["bbox"]:
-            if x1 <= x0 or y1 <= y0:
-                continue
-            meets = [c for c in found if x0 - gap < c[2] and c[0] < x1 + gap and y0 - gap < c[3] and c[1] < y1 + gap]
-            found = [c for c in found if c not in meets]
-            boxes = [[x0, y0, x1, y1], *meets]
-            found.append([min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes)])
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "page": pdf["page"].iloc[0], "cluster_no": range(1, len(found) + 1), "bbox": found})
-
-    return rects.groupBy("doc_id", "page").applyInPandas(fold, "doc_id long, page int, cluster_no int, bbox array<double>")
+    at = lambda b, i: F.get(b, F.lit(i))
+    boxes = F.transform(F.array_sort(F.collect_list(F.struct("rect_no", "bbox"))), lambda s: s["bbox"])
+    solid = F.filter(boxes, lambda b: (at(b, 2) > at(b, 0)) & (at(b, 3) > at(b, 1)))
+
+    def join(found: Column, box: Column) -> Column:
+        meets = lambda c: (at(box, 0) - gap < at(c, 2)) & (at(c, 0) < at(box, 2) + gap) & (at(box, 1) - gap < at(c, 3)) & (at(c, 1) < at(box, 3) + gap)
+        grown = F.aggregate(F.filter(found, meets), box, lambda a, c: F.array(F.least(at(a, 0), at(c, 0)), F.least(at(a, 1), at(c, 1)), F.greatest(at(a, 2), at(c, 2)), F.greatest(at(a, 3), at(c, 3))))
+        return F.concat(F.filter(found, lambda c: ~meets(c)), F.array(grown))
+
+    folded = F.aggregate(solid, F.array().cast("array<array<double>>"), join)
+    pages = rects.groupBy("doc_id", "page").agg(folded.alias("found"))
+    return pages.select("doc_id", "page", F.posexplode("found").alias("n", "bbox")).select("doc_id", "page", (F.col("n") + 1).alias("cluster_no"), "bbox")
 
 
 def figures(clusters: DataFrame, pages: DataFrame, tables: DataFrame, cfg: ParserConfig = DEFAULT) -> DataFrame:

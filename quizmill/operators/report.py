@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import or_empty, plain_text
-from .rules import display_items, iter_blocks
+from ..schemas import ITEM
+from .rules import iter_blocks
 
 
 def status(issues: Column) -> Column:
@@ -31,11 +32,17 @@ def severity_counts(issues: DataFrame) -> DataFrame:
 
 
 def summary(found: DataFrame, groups: DataFrame, images: DataFrame) -> DataFrame:
-    """Headline counts per run: imported (clean or to review), review, skipped, groups, images, warnings, errors."""
-    warnings = lambda s: F.sum(F.size(F.filter(F.col("issues"), lambda i: i["severity"] == s)))
-    per_run = found.groupBy("run_id").agg(F.count_if(F.col("status") != "failed").alias("imported"), F.count_if(F.col("status") == "needs_review").alias("review"), F.count_if(F.col("status") == "failed").alias("skipped"), warnings("warning").alias("warnings"), warnings("error").alias("errors"))
-    count = lambda df, name: df.groupBy("run_id").agg(F.count(F.lit(1)).alias(name))
-    return per_run.join(count(groups, "groups"), "run_id", "left").join(count(images, "images"), "run_id", "left").fillna(0)
+    """Headline counts per run with results: imported (clean or to review), review, skipped, groups, images, warnings, errors.
+
+    One shuffle of tagged rows, added up before it.
+    """
+    some = lambda s: F.coalesce(F.size(F.filter(F.col("issues"), lambda i: i["severity"] == s)), F.lit(0)).alias(f"{s}s")
+    rows = found.select("run_id", "status", some("warning"), some("error"))
+    tag = lambda df, what: df.select("run_id", F.lit(what).alias("status"), F.lit(0).alias("warnings"), F.lit(0).alias("errors"))
+    rows = rows.union(tag(groups, "group")).union(tag(images, "image"))
+    n = lambda *of: F.count_if(F.col("status").isin(*of))
+    out = rows.groupBy("run_id").agg(n("imported", "needs_review").alias("imported"), n("needs_review").alias("review"), n("failed").alias("skipped"), n("group").alias("groups"), n("image").alias("images"), F.sum("warnings").alias("warnings"), F.sum("errors").alias("errors"))
+    return out.where("imported + skipped > 0")
 
 
 def manifest_counts(questions: DataFrame, groups: DataFrame, assets: DataFrame) -> DataFrame:
@@ -51,11 +58,31 @@ def runs_with_nothing(runs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def previews(questions: DataFrame, found: DataFrame) -> DataFrame:
-    """run_id, item_seq, id, stem_text, choices (id, text, is_correct), status; a question without a result is imported."""
+    """run_id, item_seq, id, stem_text, choices (id, text, is_correct), status; a question without a result is imported.
+
+    Questions are cut down to what is shown before they are shuffled; found is joined by id, the last result of an id wins.
+    """
     last = found.groupBy("run_id", "question_id").agg(F.max_by("status", "item_seq").alias("status")).withColumnRenamed("question_id", "id")
+    return _shown(questions).join(last, ["run_id", "id"], "left").withColumn("status", F.coalesce("status", F.lit("imported")))
+
+
+def _shown(questions: DataFrame, *more: Column) -> DataFrame:
     right = or_empty(F.col("interaction.correct_option_ids"))
-    choices = F.transform(F.when(F.col("interaction.kind") == "choice", F.col("shown")).otherwise(F.slice("shown", 1, 0)), lambda i: F.struct(i["id"].alias("id"), plain_text(i["content"]).alias("text"), F.array_contains(right, i["id"]).alias("is_correct")))
-    return questions.withColumn("shown", display_items()).join(last, ["run_id", "id"], "left").select("run_id", "item_seq", "id", plain_text(F.col("stem")).alias("stem_text"), choices.alias("choices"), F.coalesce("status", F.lit("imported")).alias("status"))
+    options = F.when(F.col("interaction.kind") == "choice", or_empty(F.col("interaction.options"), ITEM)).otherwise(F.array().cast(f"array<{ITEM}>"))
+    choices = F.transform(options, lambda i: F.struct(i["id"].alias("id"), plain_text(i["content"]).alias("text"), F.array_contains(right, i["id"]).alias("is_correct")))
+    return questions.select("run_id", "item_seq", "id", plain_text(F.col("stem")).alias("stem_text"), choices.alias("choices"), *more)
+
+
+def reviewed_previews(questions: DataFrame) -> DataFrame:
+    """``previews`` of ``with_issues`` rows by their own issues: one shuffle by (run_id, id), no join."""
+    last = Window.partitionBy("run_id", "id").orderBy("item_seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return _shown(questions, status(F.col("issues")).alias("status")).withColumn("status", F.last("status").over(last))
+
+
+def item_text(item: Column) -> Column:
+    """What an item is called where there is room for one line: its first text or verbatim block, else its id."""
+    first = F.get(F.filter(item["content"], lambda b: b["kind"].isin("text", "verbatim")), F.lit(0))["text"]
+    return F.coalesce(first, item["id"])
 
 
 def preview_images(questions: DataFrame, assets: DataFrame) -> DataFrame:

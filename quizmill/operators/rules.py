@@ -164,6 +164,15 @@ def missing_assets(questions: DataFrame, assets: DataFrame) -> DataFrame:
     return _named(lost, 24, "missing_asset", F.array("place", "asset_id"))
 
 
+def missing_group_assets(groups: DataFrame, assets: DataFrame) -> DataFrame:
+    """Image blocks of group contexts whose asset is not stored with the group or an earlier item."""
+    each = groups.select("run_id", "item_seq", F.posexplode("context").alias("pos", "b")).where("b.kind = 'image'")
+    blocks = each.select("run_id", "item_seq", F.lit("group context").alias("place"), F.col("b.asset_id").alias("asset_id")).alias("b")
+    a = assets.select("run_id", "id", F.col("item_seq").alias("at")).alias("a")
+    lost = blocks.join(a, (F.col("b.run_id") == F.col("a.run_id")) & (F.col("b.asset_id") == F.col("a.id")) & (F.col("a.at") <= F.col("b.item_seq")), "left_anti")
+    return _named(lost, 24, "missing_asset", F.array("place", "asset_id"))
+
+
 def display_items() -> Column:
     """A question's items in display order, by its kind."""
     both = lambda a, b: F.concat(F.coalesce(_q(a), F.array()), F.coalesce(_q(b), F.array()))

@@ -31,6 +31,10 @@ LINE_SQL = """CASE WHEN n = 1 AND doc_id % 11 = 0 THEN concat('Scenario 1: ', l)
 (n % 9 = 0) AS mono, CAST(floor((n - 1) / 40.0) AS INT) + 1 AS page, 72.0E0 + 16.0E0 * ((n - 1) % 40) AS y0,
 CASE WHEN n % 9 = 0 THEN 72.0E0 + 6.0E0 * (doc_id % 5) ELSE 72.0E0 END AS x0"""
 
+#: Questions, groups, pictures and members of a bank whose runs repeat ids: as written, before they are normalised.
+RAW_SQL = """SELECT run_id, ordinal, CASE WHEN ordinal % 4 = 0 THEN ' ' WHEN ordinal % 3 = 0 THEN 'q1' ELSE raw_id END AS given,
+  CASE WHEN ordinal % 5 = 0 THEN '' ELSE concat('a', CAST(ordinal % 2 AS {string})) END AS asset FROM bank"""
+
 
 def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -79,7 +83,9 @@ def bank_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _view(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "l")).withColumn("n", F.col("p") + 1)
-    return docs.selectExpr("doc_id", "n AS line_no", *_columns(LINE_SQL.format(string="STRING")))
+    made = docs.selectExpr("doc_id", "n AS line_no", *_columns(LINE_SQL.format(string="STRING")))
+    span = F.struct("text", "x0", (F.col("x0") + 6.0 * F.length("text")).alias("x1"))
+    return made.withColumns({"y1": F.col("y0") + 10.0, "spans": F.array(span)})
 
 
 def _columns(sql: str) -> list[str]:

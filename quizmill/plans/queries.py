@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_text
-from ..operators import grading, layout, lines, normalize, report, rules
+from ..operators import grading, layout, normalize, report, rules
 from .bindings import BANK, LINES, bank, bank_assets, bank_groups, doc_lines, flat_bank
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,8 +147,7 @@ def empty_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
        "SELECT b.run_id, b.ordinal AS item_seq, b.raw_id AS id, CASE WHEN stem_blocks > 0 THEN 'stem of ' || b.raw_id ELSE '' END AS stem_text, CASE WHEN kind = 'choice' THEN array_to_string(list_transform(ids, lambda x: x || ':' || x || ':' || CASE WHEN list_contains(refs, x) THEN 'true' ELSE 'false' END), ',') ELSE '' END AS choices, "
        "CASE WHEN l.bad THEN 'needs_review' ELSE 'imported' END AS status FROM bank b JOIN l ON b.run_id = l.run_id AND b.raw_id = l.raw_id")
 def preview_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    questions = rules.with_issues(bank(spark, sf_dir))
-    shown = report.previews(questions, report.results(questions))
+    shown = report.reviewed_previews(rules.with_issues(bank(spark, sf_dir)))
     return shown.withColumn("choices", F.array_join(F.transform("choices", lambda c: F.concat_ws(":", c["id"], c["text"], c["is_correct"].cast("string"))), ","))
 
 
@@ -216,106 +215,6 @@ def score_by_learner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grading.scores(answers)
 
 
-# -- line streams -----------------------------------------------------------------------------------------------------
-SEGMENTED = (
-    f"{LINES}, m AS (SELECT *, CASE WHEN mono THEN NULL WHEN regexp_matches(trim(text), '(?i)^(case\\s+study|scenario)\\b') THEN 'group' WHEN regexp_matches(trim(text), '(?i)^(question\\s+\\d+|\\d{{1,4}}[.)])') THEN 'question' END AS boundary FROM lines), "
-    "s AS (SELECT *, CAST(count(boundary) OVER w AS INT) AS slice_no, CAST(count(*) FILTER (boundary = 'question') OVER w AS INT) AS ordinal, CAST(count(*) FILTER (boundary = 'group') OVER w AS INT) AS group_no FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY page, y0, x0, line_no ROWS UNBOUNDED PRECEDING))"
-)
-FLOWED = f"{SEGMENTED}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, slice_no ORDER BY page, y0, line_no) AS flow_pos, CASE WHEN mono THEN 'mono' ELSE 'text' END AS item FROM s WHERE slice_no > 0)"
-
-
-@query(f"WITH {SEGMENTED} SELECT doc_id, CAST(line_no AS INT) AS line_no, boundary, slice_no, ordinal, group_no FROM s")
-def segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.segment(doc_lines(spark, sf_dir)).select("doc_id", "line_no", "boundary", "slice_no", "ordinal", "group_no")
-
-
-@query(f"WITH {SEGMENTED} SELECT doc_id, slice_no, count(*) AS n_lines, string_agg(DISTINCT CAST(page AS VARCHAR), ',' ORDER BY CAST(page AS VARCHAR)) AS pages FROM s WHERE slice_no > 0 GROUP BY ALL")
-def slice_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.slices(lines.segment(doc_lines(spark, sf_dir)))
-    return found.select("doc_id", "slice_no", "n_lines", F.array_join(F.array_sort(F.transform("pages", lambda p: p.cast("string"))), ",").alias("pages"))
-
-
-@query(f"WITH {SEGMENTED} SELECT doc_id, count(*) AS n_lines, count(DISTINCT page) AS n_pages FROM s WHERE slice_no = 0 GROUP BY 1")
-def preamble_note(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.preamble(lines.segment(doc_lines(spark, sf_dir))).select("doc_id", "n_lines", F.size("pages").cast("long").alias("n_pages"))
-
-
-@query(f"WITH {SEGMENTED} SELECT doc_id, ordinal, group_no FROM s WHERE boundary = 'question'")
-def group_of_question(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.slices(lines.segment(doc_lines(spark, sf_dir))).where("kind = 'question'").select("doc_id", "ordinal", "group_no")
-
-
-OBJECTS = "SELECT DISTINCT doc_id, page, page * 10 + k AS obj_no, 72.0E0 + 16.0E0 * ((doc_id + k * 7) % 40) - 8.0E0 * (k % 2) AS y_center FROM lines CROSS JOIN (VALUES (0), (1), (2)) AS v(k)"
-
-
-@query(f"WITH {SEGMENTED}, o AS ({OBJECTS}) SELECT o.doc_id, o.page, o.obj_no, coalesce(max(s.slice_no), -1) AS slice_no FROM o LEFT JOIN s ON s.doc_id = o.doc_id AND s.boundary IS NOT NULL AND (s.page < o.page OR (s.page = o.page AND s.y0 <= o.y_center)) GROUP BY ALL")
-def owner_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = doc_lines(spark, sf_dir)
-    rows.createOrReplaceTempView("lines")
-    return lines.own_objects(lines.segment(rows), spark.sql(OBJECTS)).fillna(-1, ["slice_no"])
-
-
-@query(f"WITH {FLOWED} SELECT doc_id, slice_no, CAST(flow_pos AS INT) AS flow_pos, CAST(line_no AS INT) AS line_no FROM f")
-def flow_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.flow(lines.segment(doc_lines(spark, sf_dir))).select("doc_id", "slice_no", "flow_pos", "line_no")
-
-
-@query(f"WITH {FLOWED}, g AS (SELECT *, CASE WHEN lag(item) OVER w = item THEN 0 ELSE 1 END AS new FROM f WINDOW w AS (PARTITION BY doc_id, slice_no ORDER BY flow_pos)), b AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, slice_no ORDER BY flow_pos) AS block_no FROM g), "
-       "t AS (SELECT doc_id, slice_no, CAST(block_no AS INT) AS block_no, min(item) AS item, count(*) AS n_lines, string_agg(text, chr(10) ORDER BY flow_pos) AS text FROM b GROUP BY ALL) SELECT * FROM t WHERE item <> 'text' OR trim(text, ' ' || chr(10) || chr(9)) <> ''")
-def prose_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.prose_blocks(lines.flow(lines.segment(doc_lines(spark, sf_dir))))
-
-
-BODY = "CASE WHEN boundary = 'question' THEN ltrim(substr(trim(text), length(regexp_extract(trim(text), '(?i)^question\\s+\\d+\\s*[:.)]?|^\\d{1,4}[.)]')) + 1)) WHEN boundary = 'group' THEN '' ELSE text END"
-CLASSIFIED = FLOWED + f""", c0 AS (SELECT *, {BODY} AS body FROM f),
- c1 AS (SELECT *, CASE WHEN item = 'mono' THEN 'mono' WHEN trim(body) = '' THEN 'blank' WHEN regexp_matches(trim(body), '(?i)^explanation\\s*[:.]?\\s*(.*)$') THEN 'explanation'
-   WHEN regexp_matches(trim(body), '(?i)^(?:correct\\s+)?answers?\\s*[:.]\\s*(.*)$') THEN 'answer' WHEN regexp_matches(trim(body), '(?i)^([A-H])[.)]\\s+(.*)$') THEN 'option' ELSE 'plain' END AS mark FROM c0),
- c2 AS (SELECT *, min(flow_pos) FILTER (mark = 'answer') OVER w AS a0, min(flow_pos) FILTER (mark = 'explanation') OVER w AS e0 FROM c1 WINDOW w AS (PARTITION BY doc_id, slice_no)),
- c3 AS (SELECT *, min(flow_pos) FILTER (mark = 'plain' AND flow_pos > a0) OVER (PARTITION BY doc_id, slice_no) AS t0 FROM c2),
- c4 AS (SELECT *, least(coalesce(e0, 2147483647), coalesce(t0, 2147483647)) AS e FROM c3),
- c AS (SELECT *, coalesce(count(*) FILTER (mark = 'option' AND flow_pos < e) OVER w, 0) AS option_no, count(*) FILTER (mark = 'answer') OVER w AS answer_no,
-   CASE WHEN mark = 'answer' THEN list_distinct(list_transform(regexp_extract_all(upper(regexp_extract(trim(body), '(?i)^(?:correct\\s+)?answers?\\s*[:.]\\s*(.*)$', 1)), '\\b([A-H])\\b', 1), lambda x: lower(x))) END AS letters
-   FROM c4 WINDOW w AS (PARTITION BY doc_id, slice_no ORDER BY flow_pos ROWS UNBOUNDED PRECEDING))"""
-
-
-def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.classify(lines.flow(lines.segment(doc_lines(spark, sf_dir))))
-
-
-@query(f"WITH {CLASSIFIED} SELECT doc_id, CAST(line_no AS INT) AS line_no, mark, CASE WHEN mark = 'answer' THEN 'answer' WHEN flow_pos >= e THEN 'explanation' WHEN option_no > 0 THEN 'option' ELSE 'stem' END AS role FROM c")
-def classify_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _classified(spark, sf_dir).select("doc_id", "line_no", "mark", "role")
-
-
-@query(f"WITH {CLASSIFIED} SELECT doc_id, slice_no, CAST(option_no AS INT) AS option_no, lower(substr(trim(body), 1, 1)) AS option_id FROM c WHERE mark = 'option' AND flow_pos < e")
-def option_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _classified(spark, sf_dir).where("option_id IS NOT NULL").select("doc_id", "slice_no", "option_no", "option_id")
-
-
-@query(f"WITH {CLASSIFIED} SELECT doc_id, CAST(line_no AS INT) AS line_no, array_to_string(list_sort(letters), ',') AS letters FROM c WHERE mark = 'answer'")
-def answer_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _classified(spark, sf_dir).where("mark = 'answer'").select("doc_id", "line_no", F.array_join(F.array_sort("letters"), ",").alias("letters"))
-
-
-@query(f"WITH {CLASSIFIED}, t AS (SELECT doc_id, slice_no, count(*) FILTER (mark = 'option' AND flow_pos < e) AS n_options, len(list_distinct(flatten(list(letters) FILTER (letters IS NOT NULL)))) AS n FROM c GROUP BY ALL) SELECT doc_id, slice_no, n_options, CASE WHEN n_options > 0 AND coalesce(n, 0) > 1 THEN 'multiple_choice' ELSE 'single_choice' END AS type FROM t")
-def infer_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.question_types(_classified(spark, sf_dir)).select("doc_id", "slice_no", "n_options", "type")
-
-
-@query(f"WITH {CLASSIFIED} SELECT doc_id, CAST(line_no AS INT) AS line_no, 'multiple_answer_keys' AS code FROM c WHERE mark = 'answer' AND answer_no > 1 UNION ALL SELECT doc_id, CAST(line_no AS INT), 'unparsed_answer_key' FROM c WHERE mark = 'answer' AND len(letters) = 0 "
-       "UNION ALL SELECT doc_id, CAST(line_no AS INT), 'option_after_answer_key' FROM c WHERE mark = 'option' AND flow_pos < e AND flow_pos > a0 UNION ALL SELECT doc_id, CAST(line_no AS INT), 'unmarked_text_after_answer' FROM c WHERE flow_pos = t0 AND t0 < coalesce(e0, 2147483647)")
-def classify_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _classified(spark, sf_dir).select("doc_id", "line_no", F.explode("line_issues").alias("code"))
-
-
-@query(f"WITH {LINES}, v AS (SELECT doc_id, page, line_no, text, x0, min(x0) OVER (PARTITION BY doc_id, page) AS b FROM lines WHERE mono) SELECT doc_id, page, string_agg(repeat(' ', CAST(round_even((x0 - b) / 6.0, 0) AS INT)) || text, chr(10) || chr(10) ORDER BY line_no) AS text FROM v GROUP BY ALL")
-def verbatim_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monospace lines of a page as one run of six-point characters; they are nine lines apart, so blank lines part them."""
-    span = F.struct("text", "x0", (F.col("x0") + 6.0 * F.length("text")).alias("x1"))
-    rows = doc_lines(spark, sf_dir).where("mono").select("doc_id", "page", F.col("line_no").alias("pos"), "x0", "y0", (F.col("y0") + 10.0).alias("y1"), F.array(span).alias("spans"))
-    return lines.verbatim(rows.withColumn("page_no", F.col("page")), ("doc_id", "page_no")).select("doc_id", F.col("page_no").alias("page"), "text")
-
-
 # -- geometry ---------------------------------------------------------------------------------------------------------
 BOX = "[x0, y0, x0 + 100.0E0, y0 + 10.0E0]"
 
@@ -349,14 +248,16 @@ def mono_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.mono_lines(spans)
 
 
-@query()
+# Page rectangles meet from top to bottom wherever the next begins within the gap, so clusters are runs of one column.
+@query(f"""WITH {LINES}, r AS (SELECT doc_id, page, line_no, x0, y0 + 12.0E0 * (line_no // 3) AS y0, x0 + 100.0E0 AS x1, y0 + 12.0E0 * (line_no // 3) + 10.0E0 AS y1 FROM lines),
+n AS (SELECT *, CASE WHEN y0 - 12 < lag(y1) OVER w THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY doc_id, page ORDER BY line_no)),
+c AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page ORDER BY line_no) AS cluster_no FROM n)
+SELECT doc_id, page, CAST(cluster_no AS INT) AS cluster_no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM c GROUP BY ALL""")
 def cluster_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = _boxes(spark, sf_dir)
-    return layout.cluster_rects(rows.where("line_no % 3 <> 0").withColumnRenamed("line_no", "rect_no")).select("doc_id", "page", "cluster_no", csv_box().alias("bbox"))
-
-
-def csv_box() -> Column:
-    return F.array_join(F.transform("bbox", lambda x: x.cast("string")), ",")
+    """Lines' boxes, with a wider gap after every third line, in the order of their numbers."""
+    y0 = F.col("y0") + 12.0 * F.floor(F.col("line_no") / 3)
+    rows = doc_lines(spark, sf_dir).select("doc_id", "page", F.col("line_no").alias("rect_no"), F.array(F.col("x0"), y0, F.col("x0") + 100.0, y0 + 10.0).alias("bbox"))
+    return layout.cluster_rects(rows).select("doc_id", "page", "cluster_no", *(F.col("bbox")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))))
 
 
 @query("SELECT sha256(coalesce(text, '')) AS sha256, count(*) AS uses, min(doc_id) AS first_id, 'a' || CAST(min(doc_id) AS VARCHAR) || '.png' AS filename FROM documents GROUP BY 1")

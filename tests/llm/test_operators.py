@@ -78,8 +78,8 @@ def test_near_duplicates(spark, texts, limits, monkeypatch):
 
 def test_rtree_loses_no_pair():
     rnd = np.random.default_rng(3)
-    centre = rnd.poisson(2, near_dup.GROUPS)
-    points = np.maximum(0, centre + rnd.integers(-1, 2, (300, near_dup.GROUPS))).astype(np.float32)
+    centre = rnd.poisson(2, 128)
+    points = np.maximum(0, centre + rnd.integers(-1, 2, (300, 128))).astype(np.float64)
     sizes = points.sum(axis=1)
     tree = near_dup.RTree(points, sizes)
     for i in range(0, 300, 17):
@@ -87,6 +87,32 @@ def test_rtree_loses_no_pair():
         assert sorted(tree.search(points[i], sizes[i])) == want.tolist()
 
 
+@pytest.mark.parametrize("n", [1, 31, 40, 127, 129, 1000, 1025, 9000, 40000])
+def test_count_vectors_bound_overlaps(n):
+    """Minima of count vectors are never below the overlap, also of vectors added up, and tell unrelated sets apart."""
+    rnd = np.random.default_rng(n)
+    one, two = (rnd.integers(0, 1 << 63, n, dtype=np.uint64) for _ in range(2))
+    mixed = np.concatenate([one[: n - n // 10], two[: n // 4]])
+    groups = int(min(near_dup.groups_of(np.array([len(one), len(mixed)]))))
+    a, b, c = (near_dup.vectors(pa.array([near_dup.count_vector(x)], pa.binary()), groups)[0] for x in (one, two, mixed))
+    assert np.minimum(a, c).sum() >= n - n // 10
+    assert a.sum() >= n and (n < 100 or np.minimum(a, b).sum() < near_dup.needed(n, n))
+    assert max(near_dup.groups_of(np.arange(1, 30000) * 4 // 3) / near_dup.groups_of(np.arange(1, 30000))) <= 2
+
+
+def test_a_family_of_unlinked_texts_makes_few_candidates(spark, monkeypatch):
+    """400 texts of which each shares three fifths of its words with all others: no links, and hardly a pair goes on."""
+    rnd = random.Random(12)
+    template = words(rnd, 120, 10**6)
+    rows = [(i, f"{template} {words(rnd, 80, 10**6)}") for i in range(400)] + [(1000, f"{template} a b c"), (1001, f"{template} d e f")]
+    seen = []
+    verify = near_dup._verify
+    monkeypatch.setattr(near_dup, "_verify", lambda shelf, docs, pairs, limit: (seen.append(pairs.count()), verify(shelf, docs, pairs, limit))[1])
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(table(spark, rows)).collect()}
+    assert got == {i: i for i, _ in rows} | {1001: 1000}
+    assert sum(seen) < 3 * len(rows)
+
+
 def brute_removed(texts, length):
     rows = [(t or "").encode() for _, t in texts]
     uses = Counter(b[k : k + length] for b in rows for k in range(len(b) - length + 1))

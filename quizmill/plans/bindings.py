@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +47,31 @@ def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the cluster's shared folder, read again: plans over it stay short, and no lost executor takes it along.
+
+    The folder is that of spark.checkpoint.dir; one of its own only where that is unset, as in tests. Its tables go as
+    the driver ends.
+    """
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared}/bank-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the session may be gone at exit
+        shutil.rmtree(path, ignore_errors=True)
+
+
 def flat_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     _view(spark, sf_dir, "lineitem")
     return spark.sql(BANK_SQL.format(string="STRING"))

@@ -1,7 +1,7 @@
 """Toxicity: a linear-chain conditional random field tags toxic words; its marginals make document scores and offsets.
 
 1. A bounded sample of labelled documents gives, per hashed word, in how many toxic and clean texts it stands. Words
-   clearly bound to toxic texts are the lexicon, whose every word is a feature.
+   clearly bound to toxic texts are the lexicon, whose every word is a feature; the sample's bound is its only one.
 2. Tokens of the sample are labelled toxic where a lexicon word stands in a toxic text, other lexicon words clean. On
    them the field is fitted: a weight per word and a transition weight for both labels and the distance between
    neighbours in the chain. Words outside the lexicon are clean by construction and only add to distances.
@@ -23,7 +23,6 @@ from .common import Shelf
 
 #: At most so many labelled rows, those with the least hash of their doc_id, are learned from.
 LABELLED = 20_000
-LEXICON = 4096
 GAPS = (2, 4, 8, 16, 32)
 _WORD = np.zeros(256, bool)
 _WORD[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
@@ -146,7 +145,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -
     if bad and good:
         counts = rows.mapInArrow(_document_counts, "word long, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         odds = F.log((F.col("toxic") + 0.5) / F.lit(bad + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(good + 1.0))
-        chosen = counts.where((F.col("toxic") >= max(3, 0.01 * bad)) & (odds > 1.5)).orderBy(F.desc(odds * F.sqrt("toxic")), "word").limit(LEXICON).select("word").collect()
+        chosen = counts.where((F.col("toxic") >= max(3, 0.01 * bad)) & (odds > 1.5)).select("word").collect()
         lexicon = np.sort(np.array([r[0] for r in chosen], np.int64).view(np.uint64))
         shared = spark.sparkContext.broadcast(lexicon)
 

@@ -17,7 +17,7 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     Whether a shard wins depends only on the key, so a new shard takes records only into itself and a removed one gives
     away only its own. A null key has a shard like any other.
     """
-    u = lambda j: (F.shiftrightunsigned(F.xxhash64(key, F.lit(j)), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+    u = lambda j: (F.shiftrightunsigned(F.xxhash64(key, F.lit(j)), 12).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
     scores = [F.struct((F.lit(float(w)) / -F.log(u(j))).alias("score"), F.lit(j).alias("shard")) for j, w in enumerate(weights)]
     return (F.greatest(*scores) if len(scores) > 1 else scores[0])["shard"]
 

@@ -132,7 +132,7 @@ def resample(docs: DataFrame, labels: DataFrame, keep: int | None = None, labell
         target[counts.bucket.to_numpy(np.int64)] += counts.target.to_numpy(np.float64)
         if counts.target.sum():
             table[part] = np.log(target[part] / target[part].sum()) - np.log(raw[part] / raw[part].sum())
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 12).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
     scored = texts.mapInArrow(_score(spark.sparkContext.broadcast(table)), "doc_id long, score double")
     scored = shelf.put(scored.withColumn("key", F.lit(sharpness) * F.col("score") - F.log(-F.log(u))))
     if keep is None:

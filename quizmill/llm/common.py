@@ -83,6 +83,6 @@ def ids_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows of docs whose doc_id is in ids (one column doc_id): broadcast up to ``limit`` ids, else a shuffled join."""
-    return docs.join(F.broadcast(ids) if ids.count() <= limit else ids, "doc_id", "left_semi")
+def keep_ids(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_ROWS, key: str = "doc_id") -> DataFrame:
+    """Rows of docs whose key is in ids (its one column): broadcast up to ``limit`` ids, else a shuffled join."""
+    return docs.join(F.broadcast(ids) if ids.count() <= limit else ids, key, "left_semi")

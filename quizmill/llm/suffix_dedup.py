@@ -235,7 +235,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GRO
     """
     shelf = Shelf(docs.sparkSession, "suffix-dedup")
     k = gram_length(length)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), F.struct(F.lit(True).alias("_row"), *carry).alias("carried"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), F.struct(*(f"`{c}`" for c in carry) if carry else [F.lit(True).alias("row")]).alias("carried"))
     texts = rows.drop("carried")
     named = texts.where("doc_id is not null")
     # rows of times 0 are spans (at to size) already known; others stand for all equal contexts in their text

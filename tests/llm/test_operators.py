@@ -1,17 +1,21 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, and on awkward input."""
 
 import hashlib
+import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quizmill.llm import decontaminate, language, licences, near_dup, neighbours, packing, quality, registry, shards, suffix_dedup, toxicity
+from quizmill.llm.bytesets import mix
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns whose names the operators use themselves.
@@ -404,14 +408,6 @@ def test_kth_largest(spark):
         assert quality.kth_largest(df, "v", k, bins=8, small=16) == sorted(values, reverse=True)[k - 1]
 
 
-def test_gumbel_draws_follow_the_weights():
-    """Gumbel top-1 picks each text as often as its weight says."""
-    rng = np.random.default_rng(0)
-    weight = np.array([0.5, 0.3, 0.2])
-    picks = np.argmax(np.log(weight) - np.log(-np.log(rng.random((40000, 3)))), axis=1)
-    assert np.allclose(np.bincount(picks) / 40000, weight, atol=0.02)
-
-
 def test_empty_tables(spark):
     docs = table(spark, [])
     assert near_dup.near_duplicates(docs).count() == 0
@@ -431,4 +427,105 @@ def test_null_ids(spark):
     assert suffix_dedup.remove_repeats(docs).count() == 3
     assert packing.pack(docs, tokenizer_path()).count() == 3
     assert shards.assign_shards(docs, [1.0, 1.0]).count() == 3
-    assert decontaminate.contamination(docs, table(spark, [(1, "a b")], "item_id long, text string")).where("doc_id is not null").count() == 1
+    found = decontaminate.contamination(docs, table(spark, [("x1", "a b"), (None, "a b")], "item_id string, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r["items"]) for r in found) == [(0, 0, 0, []), (0, 6, 2, ["x1"]), (1, 6, 2, ["x1"])]
+
+
+def test_one_id_with_two_texts_is_searched_row_by_row(spark):
+    docs = table(spark, [(1, "a b x"), (1, "c a d"), (1, "a b x")])
+    found = decontaminate.contamination(docs, table(spark, [(7, "a b")], "item_id long, text string")).collect()
+    assert sorted((r.n_words, r.n_hit) for r in found) == [(3, 0), (3, 2)]
+
+
+def test_shards_are_those_of_an_independent_draw(spark):
+    def draw(key, j, start=42):
+        """The hash of key, then shard, each the seed of the next; a null key leaves the seed."""
+        if key is not None:
+            start = xxhash.xxh64_intdigest(struct.pack("<q", key), seed=start)
+        u = ((xxhash.xxh64_intdigest(struct.pack("<i", j), seed=start) >> 12) + 0.5) / (1 << 52)
+        return -1 / math.log(u), j
+
+    ids = [None, 0, -1, 2**62, *range(1, 400)]
+    rows = shards.assign_shards(table(spark, [(i, "x") for i in ids]), [1.0] * 40).collect()
+    assert {r.doc_id: (r.shard, r.grown_shard) for r in rows} == {i: tuple(max(draw(i, j) for j in range(n))[1] for n in (40, 41)) for i in ids}
+
+
+def test_language_scores_are_those_of_counts_by_hand(spark):
+    """Grams and posteriors from strings, with none of the operator's code but its hash of a gram into a bucket."""
+
+    def grams(text):
+        marked = re.sub(r"[^a-z\x80-\xff]+", " ", f" {text} ".encode().lower().decode("latin1")).encode("latin1")
+        for k in language.ORDERS:
+            for i in range(len(marked) - k + 1):
+                h = k
+                for b in marked[i : i + k]:
+                    h = (h * 257 + b) % (1 << 64)
+                yield int(mix(np.array([h], np.uint64))[0]) % language.BUCKETS
+
+    learn = [("xx", "The cat, 12 sat"), ("xx", "the Mat"), ("yy", "le chat été"), ("yy", "la natte"), ("zz", "der Hund"), ("xx", None), (None, "der der")]
+    ask = ["the hat", "été là", "Der 9 hunde", "chat", "the cat sat " * 30000, "12 !", "", None, "chat"]
+    counts = {x: Counter(g for lang, t in learn if lang == x and t for g in grams(t)) for x in ("xx", "yy", "zz")}
+    texts = {x: sum(lang == x and t is not None for lang, t in learn) for x in counts}
+    model = language.fit_languages(table(spark, [(i, t, x) for i, (x, t) in enumerate(learn)], "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in language.predict_languages(table(spark, list(enumerate(ask))), model).collect()}
+    for i, text in enumerate(ask):
+        if not re.search(r"[a-zé]", text or "", re.I):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        seen = Counter(grams(text))
+        logs = {x: math.log((texts[x] + 1) / (sum(texts.values()) + 3)) + sum(n * math.log((c[g] + 0.5) / (c.total() + 0.5 * language.BUCKETS)) for g, n in seen.items()) for x, c in counts.items()}
+        best = max(logs, key=logs.get)
+        assert got[i].lang_pred == best and got[i].score == pytest.approx(1 / sum(math.exp(v - logs[best]) for v in logs.values()), rel=1e-3)
+    tied = language.fit_languages(table(spark, [(1, "same", "b"), (2, "same", "a")], "doc_id long, text string, lang string"))
+    assert language.predict_languages(table(spark, [(1, "same"), (1, "same")]), tied).select("lang_pred").collect() == [("a",), ("a",)]
+    assert language.predict_languages(table(spark, []), tied).count() == 0
+
+
+def test_resampling_is_an_independent_gumbel_draw(spark):
+    """Scores, noise and the k kept from strings, with none of the operator's code but its hash of a gram into a bucket."""
+
+    def families(text):
+        low, said = text.encode().lower(), text.lower().split()
+        hashed = []
+        for k in quality.ORDERS:
+            for i in range(len(low) - k + 1):
+                h = k
+                for b in low[i : i + k]:
+                    h = (h * 257 + b) % (1 << 64)
+                hashed.append(int(mix(np.array([h], np.uint64))[0]) % quality.BUCKETS)
+        again = [i > 0 and said[i] == said[i - 1] for i in range(len(said))]
+        return hashed, [sum(again[i - j] << (3 - j) for j in range(4) if i >= j) for i in range(len(said))]
+
+    rnd = random.Random(2)
+    docs = {i: " ".join(rnd.choice("aa bb Cc dd aa".split()) for _ in range(rnd.choice([0, 1, 3, 9]))) for i in range(60)}
+    good = {i: int(i % 3 == 0) for i in range(0, 60, 2)}
+    score = dict.fromkeys(docs, 0.0)
+    for f, size in ((0, quality.BUCKETS), (1, quality.REPEATS)):
+        grams = {i: families(t)[f] for i, t in docs.items()}
+        raw, target = (Counter(g for i in some for g in grams[i]) for some in (docs, [i for i in good if good[i]]))
+        ratio = lambda g, r=raw, t=target, s=size: math.log((t[g] + 0.5) / (t.total() + 0.5 * s)) - math.log((r[g] + 0.5) / (r.total() + 0.5 * s))
+        for i, found in grams.items():
+            score[i] += sum(map(ratio, found)) / max(len(found), 1)
+    noise = {i: -math.log(-math.log(((xxhash.xxh64_intdigest(struct.pack("<i", 17), seed=xxhash.xxh64_intdigest(struct.pack("<q", i), seed=42)) >> 12) + 0.5) / (1 << 52))) for i in docs}
+    key = {i: 2.0 * score[i] + noise[i] for i in docs}
+    rows = quality.resample(table(spark, list(docs.items())), spark.createDataFrame(list(good.items()), "doc_id long, quality int"), keep=20, sharpness=2.0).collect()
+    assert {r.doc_id: r.score for r in rows} == pytest.approx(score, abs=1e-9) and {r.doc_id: r.key for r in rows} == pytest.approx(key, abs=1e-9)
+    assert {r.doc_id for r in rows if r.kept} == set(sorted(key, key=key.get)[-20:])
+
+
+def test_resampling_keeps_equal_keys_together(spark):
+    docs = table(spark, [(1, "aa bb"), (1, "aa bb"), (2, "aa bb"), (3, "long words " * 40000)])
+    labels = spark.createDataFrame([(1, 1), (1, 1)], "doc_id long, quality int")
+    rows = quality.resample(docs, labels, keep=1).collect()
+    assert len(rows) == 4 and len({(r.key, r.kept) for r in rows if r.doc_id == 1}) == 1
+
+
+def test_toxicity_on_awkward_rows(spark):
+    learn = table(spark, [(i, f"you are a {'vile brute' if i % 2 else 'kind friend'} w{i % 7}") for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(learn, labels)
+    docs = table(spark, [(1, None), (2, ""), (3, "so vile brute"), (3, "so vile brute"), (None, "kind friend"), (5, "kind friend " * 40000 + "vile brute")])
+    rows = toxicity.tag_toxicity(docs, model).collect()
+    assert len(rows) == 6 and all(0 <= r.score <= 1 for r in rows)
+    assert len({r.score for r in rows if r.doc_id == 3}) == 1
+    assert toxicity.tag_toxicity(table(spark, []), model).count() == 0

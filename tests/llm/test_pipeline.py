@@ -70,3 +70,27 @@ def test_contaminated_texts_go(spark, stages):
 def test_all_that_is_left_is_packed(spark, stages):
     assert {r.doc_id for r in stages[5][1].select("doc_id").collect()} == set(rows(stages[4][1]))
     assert corpus_pipeline.run(spark, SF).count() == stages[5][1].count()
+
+
+AWKWARD = [(1, None), (2, ""), (3, "one two"), (3, "one two"), (3, "a different text"), (4, "some words " * 30000), (5, "e\u00e9" * 300), (6, "e\u00e9" * 300), (None, "one two"), (None, None)]
+
+
+@pytest.mark.parametrize("rows", [AWKWARD, []], ids=["awkward", "empty"])
+def test_stages_on_awkward_tables(spark, tmp_path, rows):
+    """Nulls in every column, empty and long texts, repeated rows, one id with two texts, clashing names; no rows at all."""
+    kind = "doc_id long, text string, lang string, kept boolean, n long, carried string, spans string, row string, hit boolean, words int"
+    docs = spark.createDataFrame([(i, t, *[None] * 8) for i, t in rows], kind)
+    for name, columns in (("labels", "doc_id long, quality int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([] if not rows else [(1, 1) if name == "labels" else (1, "one two"), (None, None)], columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = {name: stage(spark, docs, str(tmp_path)) for name, stage in corpus_pipeline.STAGES}
+    assert all(df.columns == docs.columns for df in list(out.values())[:-1])
+    got = {name: sorted((r.doc_id or 0, r.text or "") for r in df.collect()) for name, df in list(out.items())[:-1]}
+    ids = {name: [i for i, _ in some] for name, some in got.items()}
+    if not rows:
+        assert not any(got.values()) and out["best-fit packing"].count() == 0
+        return
+    assert set(ids["quality classifier"]) <= {1, 2, 3, 4, 5, 6}
+    assert ids["n-gram Jaccard join"] == [1, 2, 3, 4, 5] and (3, "a different text") in got["n-gram Jaccard join"]
+    assert ids["suffix-array dedup"] == sorted(i or 0 for i, _ in rows) and {t for i, t in got["suffix-array dedup"] if i in (5, 6)} == {""}
+    assert ids["benchmark decontamination"] == [0, 0, 1, 2, 4, 5, 6]
+    assert {r.doc_id for r in out["best-fit packing"].collect()} == {i for i, _ in rows}

@@ -230,16 +230,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GRO
     A byte goes if a string of ``length`` bytes over it also starts elsewhere, in the same text or another; strings
     never cross texts and are judged on the input. Null and empty texts have no bytes and stay; texts under
     ``length`` bytes lose nothing; repeated rows repeat each other; an empty table gives no rows; extra columns are
-    ignored. Rows without a doc_id come out whole, and are not seen as anyone's repeat. ``group_limit`` and ``block``
-    bound a task's memory and don't change results.
+    ignored. Each row is searched under a number of its own, written with its text once, so rows without a doc_id, or
+    of one doc_id and different texts, are told apart. ``group_limit`` and ``block`` bound a task's memory and don't
+    change results.
     """
     shelf = Shelf(docs.sparkSession, "suffix-dedup")
     k = gram_length(length)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), F.struct(*(f"`{c}`" for c in carry) if carry else [F.lit(True).alias("row")]).alias("carried"))
-    texts = rows.drop("carried")
-    named = texts.where("doc_id is not null")
+    carried = F.struct(*(f"`{c}`" for c in carry) if carry else [F.lit(True).alias("row")]).alias("carried")
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
+    rows = shelf.put(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text, carried))
+    texts = rows.select(F.col("row").alias("doc_id"), "text")  # from here on, doc_id is a row's number
     # rows of times 0 are spans (at to size) already known; others stand for all equal contexts in their text
-    anchors = named.mapInArrow(_anchors(length), "gram long, context long, doc_id long, at long, size long, times long")
+    anchors = texts.mapInArrow(_anchors(length), "gram long, context long, doc_id long, at long, size long, times long")
     grams = shelf.put(anchors.where("times > 0").groupBy("gram").agg(F.sum("times").alias("uses"), (F.min("context") < F.max("context")).alias("several")).where("uses > 1").drop("uses"))
     found = shelf.put(anchors.join(grams, "gram", "left").where("times = 0 or several is not null"))
     shelf.drop(grams)
@@ -264,5 +266,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GRO
     per_doc = shelf.put(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
     shelf.drop(contexts, members, crowded)
     schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").add(rows.schema["carried"])
-    return rows.join(per_doc, "doc_id", "left").mapInArrow(_cut, schema)
+    return rows.join(per_doc.withColumnRenamed("doc_id", "row"), "row", "left").drop("row").mapInArrow(_cut, schema)
 

@@ -135,11 +135,30 @@ def brute_removed(texts, length):
 @pytest.mark.parametrize("limit", [20_000, 1])
 def test_suffix_dedup(spark, texts, limit):
     rnd = random.Random(9)
-    some = [x for x in texts if x[0] != 205] + [(300 + i, rnd.choice(["q" * 400, "rs" * 300, "xyz " * 60, "z" * 199, "z" * 200]) + rnd.choice(["", "tail", "é"])) for i in range(30)]
+    some = [*texts] + [(300 + i, rnd.choice(["q" * 400, "rs" * 300, "xyz " * 60, "z" * 199, "z" * 200]) + rnd.choice(["", "tail", "é"])) for i in range(30)]
     got = suffix_dedup.remove_repeats(table(spark, some), group_limit=limit).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha")).collect()
     assert Counter(tuple(r) for r in got) == Counter((i, *x) for (i, _), x in zip(some, brute_removed(some, 200), strict=True))
 
 
+@pytest.mark.parametrize("limit", [20_000, 1])
+def test_suffix_dedup_tells_rows_apart(spark, limit):
+    """Rows without an id and rows of one id: each is judged by its own text, and is a repeat of the others."""
+    rnd = random.Random(2)
+    long = "".join(rnd.choice("abcdefgh ") for _ in range(690))
+    rows = [(1, long), (None, long), (None, "x" + long[:250]), (7, "fifteen letters"), (7, long), (7, long), (None, None), (None, "short")]
+    got = suffix_dedup.remove_repeats(table(spark, rows), group_limit=limit).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha")).collect()
+    assert Counter(tuple(r) for r in got) == Counter((i, *x) for (i, _), x in zip(rows, brute_removed(rows, 200), strict=True))
+    assert {r.n_removed for r in got if r.n_bytes in (690, 15)} == {690, 0}
+
+
+def test_items_without_an_id(spark):
+    """Their windows hit words like any other's; they are not among the items."""
+    item = " ".join(f"w{i}" for i in range(10))
+    docs = table(spark, [(1, f"x {item} y"), (2, "w1 w2"), (None, f"{item} {item}"), (3, "a b c")])
+    found = decontaminate.contamination(docs, table(spark, [(None, item), (None, item), ("k", "b c")], "item_id string, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in found} == {1: (12, 10, [], True), 2: (2, 0, [], False), None: (20, 20, [], True), 3: (3, 2, ["k"], True)}
+
+
 def test_decontamination(spark, texts):
     bench = [(1, " ".join(texts[3][1].split()[5:30])), (2, "One two"), (3, None), (4, ""), (5, texts[10][1]), (5, texts[10][1]), (6, "changed"), (7, "Ünïcode WORDS " + words(random.Random(1), 12))]
     docs = [*texts, (400, "x " + bench[7 - 0][1].replace(" ", "--") + " y")]

@@ -56,11 +56,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = B
     window. Null and empty texts have no words, on either side; rows repeated as wholes come out once; extra columns
     are ignored; either table may be empty. Each row is searched under a key of its own, a digest of doc_id and text, so
     rows without a doc_id, or of one doc_id and different texts, stay apart. Item ids are taken as strings; items without
-    one are not looked for. Benchmark fingerprints are broadcast up to ``broadcast_rows`` of them,
+    one hit words as all others do, but are not listed in items. Benchmark fingerprints are broadcast up to ``broadcast_rows`` of them,
     shuffled beyond. Items under WINDOW words have no fingerprint: all runs of just their lengths are looked up.
     """
     shelf = Shelf(docs.sparkSession, "decontaminate")
-    items = _worded(benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text"), "item_id").where("item_id is not null")
+    items = _worded(benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text"), "item_id")
     doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))
     row = F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text)))
     docs = docs.select(doc_id.alias("doc_id"), text.alias("text"), row.alias("row"))

@@ -47,18 +47,22 @@ def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that all executors share: that of spark.checkpoint.dir; one of its own only where that is unset, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the cluster's shared folder, read again: plans over it stay short, and no lost executor takes it along.
 
-    The folder is that of spark.checkpoint.dir; one of its own only where that is unset, as in tests. Its tables go as
-    the driver ends.
+    The folder is that of ``scratch``. Its tables go as the driver ends.
     """
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared}/bank-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/bank-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)

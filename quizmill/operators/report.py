@@ -73,6 +73,18 @@ def _shown(questions: DataFrame, *more: Column) -> DataFrame:
     return questions.select("run_id", "item_seq", "id", plain_text(F.col("stem")).alias("stem_text"), choices.alias("choices"), *more)
 
 
+#: What a preview shows of a question itself.
+SHOWN = ("id", "ordinal", "label", "type", "group_id", "stem", "stem_text", "choices")
+
+
+def shown_questions(questions: DataFrame) -> DataFrame:
+    """run_id, item_seq and SHOWN; choices have their printed labels."""
+    right = or_empty(F.col("interaction.correct_option_ids"))
+    options = F.when(F.col("interaction.kind") == "choice", or_empty(F.col("interaction.options"), ITEM)).otherwise(F.array().cast(f"array<{ITEM}>"))
+    choices = F.transform(options, lambda i: F.struct(i["id"].alias("id"), i["label"].alias("label"), plain_text(i["content"]).alias("text"), F.array_contains(right, i["id"]).alias("is_correct")))
+    return questions.select("run_id", "item_seq", "id", "source.ordinal", "source.label", "type", "group_id", "stem", plain_text(F.col("stem")).alias("stem_text"), choices.alias("choices"))
+
+
 def reviewed_previews(questions: DataFrame) -> DataFrame:
     """``previews`` of ``with_issues`` rows by their own issues: one shuffle by (run_id, id), no join."""
     last = Window.partitionBy("run_id", "id").orderBy("item_seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -180,10 +180,14 @@ def display_items() -> Column:
     return F.coalesce(F.when(_is("choice"), _q("options")).when(_is("ordering"), _q("items")).when(_is("matching"), both("left", "right")).when(_is("drag_and_drop"), both("tokens", "targets")).otherwise(none), F.array())
 
 
+def placed_blocks(items: Column) -> Column:
+    """A question's blocks in order, as an array of place (stem, item 'x', explanation) and b. items: ``display_items``."""
+    at = lambda place, blocks: F.transform(F.coalesce(blocks, F.array()), lambda b: F.struct(place.alias("place"), b.alias("b")))
+    shown = F.flatten(F.transform(items, lambda i: at(F.concat(F.lit("item '"), i["id"], F.lit("'")), i["content"])))
+    return F.concat(at(F.lit("stem"), F.col("stem")), shown, at(F.lit("explanation"), F.col("explanation")))
+
+
 def iter_blocks(questions: DataFrame) -> DataFrame:
     """One row per block: run_id, item_seq, pos, place (stem, item 'x', explanation) and the block's fields."""
-    at = lambda place, blocks: F.transform(F.coalesce(blocks, F.array()), lambda b: F.struct(place.alias("place"), b.alias("b")))
-    items = F.flatten(F.transform(F.col("shown"), lambda i: at(F.concat(F.lit("item '"), i["id"], F.lit("'")), i["content"])))
     shown = questions.withColumn("shown", display_items())
-    every = F.concat(at(F.lit("stem"), F.col("stem")), items, at(F.lit("explanation"), F.col("explanation")))
-    return shown.select("run_id", "item_seq", F.posexplode(every).alias("pos", "x")).select("run_id", "item_seq", "pos", "x.place", "x.b.*")
+    return shown.select("run_id", "item_seq", F.posexplode(placed_blocks(F.col("shown"))).alias("pos", "x")).select("run_id", "item_seq", "pos", "x.place", "x.b.*")

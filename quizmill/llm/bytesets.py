@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +86,22 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(a, b - a)
 
 
+def released(run: Callable) -> Callable:
+    """The same work on batches, after which the worker gives the memory it has freed back to the machine: idle workers
+    of an earlier stage share an executor's memory with the next stage."""
+
+    def after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # the C library has no such call elsewhere
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return after
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each maximal run of bytes in ``inside`` (a table of 256), and its text's number."""
     mark = inside[data]

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytesets import flat, mix, pieces, shingle_sets
+from .bytesets import flat, mix, pieces, released, shingle_sets
 from .common import BROADCAST_ROWS, Shelf, ids_and_text, keep_ids
 from .components import components
 
@@ -288,7 +288,7 @@ def _verify(shelf: Shelf, docs: DataFrame, pairs: DataFrame, limit: int) -> Data
     ids = shelf.put(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     texts = keep_ids(docs, ids, limit)
     one, two = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    out = shelf.put(pairs.join(one, "a").join(two, "b").mapInArrow(_verified, "a long, b long"))
+    out = shelf.put(pairs.join(one, "a").join(two, "b").mapInArrow(released(_verified), "a long, b long"))
     shelf.drop(ids)
     return out
 
@@ -321,7 +321,7 @@ def near_duplicates(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, block
     spark = docs.sparkSession
     shelf = Shelf(spark, "near-dup")
     docs = ids_and_text(docs)
-    seen = shelf.put(docs.mapInArrow(_sketch, "kind int, a long, n long, s1 long, s2 long, vec binary"))
+    seen = shelf.put(docs.mapInArrow(released(_sketch), "kind int, a long, n long, s1 long, s2 long, vec binary"))
     rows = seen.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "s1", "s2", "vec")
     classes = shelf.put(rows.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
     total = rows.select(F.sum(F.expr("n div 4 + 1"))).first()[0] or 0
@@ -336,10 +336,10 @@ def near_duplicates(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, block
     # first links: to the centre met most often
     reps = keep_ids(docs, classes.select(F.col("rep").alias("doc_id")), broadcast_rows)
     times, several = F.count(F.lit(1)), F.col("times") > 1
-    shared = _together(shelf, reps.mapInArrow(_entries(late, "prefix"), schema).drop("label"), {"times": times, "centre": F.min(F.struct("rep", "n"))}, several)
+    shared = _together(shelf, reps.mapInArrow(released(_entries(late, "prefix")), schema).drop("label"), {"times": times, "centre": F.min(F.struct("rep", "n"))}, several)
     met = shared.where("rep <> centre.rep and 100 * least(n, centre.n) >= 75 * greatest(n, centre.n)").groupBy("rep", F.col("centre.rep").alias("centre")).agg(times.alias("times"))
     stars = met.groupBy("rep").agg(F.max_by("centre", F.struct("times", -F.col("centre"))).alias("centre"))
-    stars = shelf.put(stars.select(F.col("centre").alias("a"), F.col("rep").alias("b")).join(side("a", "a"), "a").join(side("b", "b"), "b").mapInArrow(_bounded, "a long, b long"))
+    stars = shelf.put(stars.select(F.col("centre").alias("a"), F.col("rep").alias("b")).join(side("a", "a"), "a").join(side("b", "b"), "b").mapInArrow(released(_bounded), "a long, b long"))
     first = _verify(shelf, docs, stars, broadcast_rows)
     labels = components(shelf, first)
 
@@ -349,10 +349,10 @@ def near_duplicates(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, block
     named = shared.select("token", "rep", "hot").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     open_ = shelf.put(_together(shelf, named, ends, mixed).select(F.col("rep").alias("doc_id"), "label").distinct())
     labelled = lambda some: docs.join(F.broadcast(some) if some.count() <= broadcast_rows else some, "doc_id")
-    part = _together(shelf, labelled(open_).mapInArrow(_entries(late, "part"), schema), ends, mixed | (F.col("n") <= 0))
+    part = _together(shelf, labelled(open_).mapInArrow(released(_entries(late, "part")), schema), ends, mixed | (F.col("n") <= 0))
     rest = shelf.put(part.groupBy("rep", "label").agg(times.alias("times"), F.max("n").alias("n")).where("times >= n").select(F.col("rep").alias("doc_id"), "label"))
     whole = labelled(rest)
-    tokens = _together(shelf, whole.mapInArrow(_entries(late, "whole"), schema), ends | {"times": times}, mixed)
+    tokens = _together(shelf, whole.mapInArrow(released(_entries(late, "whole")), schema), ends | {"times": times}, mixed)
     own = Window.partitionBy("rep")
     prefix = F.col("n") - F.expr(f"({NUM} * n + {DEN - 1}) div {DEN}") + 1
     place = F.dense_rank().over(own.orderBy("times", "token"))  # rows that repeat a doc_id share places
@@ -363,7 +363,7 @@ def near_duplicates(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, block
     each = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct((F.least(part, other) * blocks + F.greatest(part, other)).alias("block"), (part != other).alias("split")))
     dealt = dealt.select("token", "rep", "n", "label", part.alias("own"), F.explode(each).alias("part")).select("*", "part.*").drop("part")
     dealt = dealt.join(points.select(F.col("doc_id").alias("rep"), "vec"), "rep")
-    met = dealt.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(_index, "a long, b long").groupBy("a", "b").agg(times.alias("shared"))
+    met = dealt.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(released(_index), "a long, b long").groupBy("a", "b").agg(times.alias("shared"))
     # what two sets share beyond their common prefix shingles lies behind the prefix of one of them
     sized = met.join(side("a", "a").drop("va"), "a").join(side("b", "b").drop("vb"), "b")
     behind = F.greatest(*(F.expr(f"({NUM} * {x} + {DEN - 1}) div {DEN} - 1") for x in ("na", "nb")))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesets import _LOWER, _WHITE, Rolling, flat, mix, pieces, word_spans
+from .bytesets import _LOWER, _WHITE, Rolling, flat, mix, pieces, released, word_spans
 from .common import Shelf
 
 BUCKETS = 1 << 16
@@ -124,7 +124,7 @@ def resample(docs: DataFrame, labels: DataFrame, keep: int | None = None, labell
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = shelf.put(known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))
-    counts = texts.join(F.broadcast(known), "doc_id", "left").select("text", "quality").mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    counts = texts.join(F.broadcast(known), "doc_id", "left").select("text", "quality").mapInArrow(released(_count), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     table = np.zeros(BUCKETS + REPEATS)
     for part in (slice(0, BUCKETS), slice(BUCKETS, BUCKETS + REPEATS)):
         raw, target = np.full(BUCKETS + REPEATS, 0.5), np.full(BUCKETS + REPEATS, 0.5)
@@ -133,7 +133,7 @@ def resample(docs: DataFrame, labels: DataFrame, keep: int | None = None, labell
         if counts.target.sum():
             table[part] = np.log(target[part] / target[part].sum()) - np.log(raw[part] / raw[part].sum())
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 12).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
-    scored = texts.mapInArrow(_score(spark.sparkContext.broadcast(table)), "doc_id long, score double")
+    scored = texts.mapInArrow(released(_score(spark.sparkContext.broadcast(table))), "doc_id long, score double")
     scored = shelf.put(scored.withColumn("key", F.lit(sharpness) * F.col("score") - F.log(-F.log(u))))
     if keep is None:
         seen = scored.join(F.broadcast(known), "doc_id").select("score", "quality").toPandas()

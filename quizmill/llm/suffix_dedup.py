@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .bytesets import Rolling, flat, mix, pieces
+from .bytesets import Rolling, flat, mix, pieces, released
 from .common import Shelf
 
 LENGTH = 200
@@ -241,7 +241,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GRO
     rows = shelf.put(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text, carried))
     texts = rows.select(F.col("row").alias("doc_id"), "text")  # from here on, doc_id is a row's number
     # rows of times 0 are spans (at to size) already known; others stand for all equal contexts in their text
-    anchors = texts.mapInArrow(_anchors(length), "gram long, context long, doc_id long, at long, size long, times long")
+    anchors = texts.mapInArrow(released(_anchors(length)), "gram long, context long, doc_id long, at long, size long, times long")
     grams = shelf.put(anchors.where("times > 0").groupBy("gram").agg(F.sum("times").alias("uses"), (F.min("context") < F.max("context")).alias("several")).where("uses > 1").drop("uses"))
     found = shelf.put(anchors.join(grams, "gram", "left").where("times = 0 or several is not null"))
     shelf.drop(grams)
@@ -258,13 +258,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GRO
     crowds = crowded.count()
     members = shelf.put(sliced)
     few = members.join(crowded, "gram", "left_anti") if crowds else members
-    spans = equal.union(few.repartition("gram").sortWithinPartitions("gram").mapInArrow(_members(length, block), "doc_id long, start long, stop long"))
+    spans = equal.union(few.repartition("gram").sortWithinPartitions("gram").mapInArrow(released(_members(length, block)), "doc_id long, start long, stop long"))
     if crowds:
-        windows = shelf.put(members.join(crowded, "gram", "left_semi").mapInArrow(_digests(length), "gram long, one long, two long, times long, doc_id long, column long, start long"))
+        windows = shelf.put(members.join(crowded, "gram", "left_semi").mapInArrow(released(_digests(length)), "gram long, one long, two long, times long, doc_id long, column long, start long"))
         again = windows.groupBy("gram", "column", "one", "two").agg(F.sum("times").alias("uses")).where("uses > 1").drop("uses")
         spans = spans.union(windows.where("times = 1").join(again, ["gram", "column", "one", "two"], "left_semi").select("doc_id", "start", (F.col("start") + length).alias("stop")))
     per_doc = shelf.put(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
     shelf.drop(contexts, members, crowded)
     schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").add(rows.schema["carried"])
-    return rows.join(per_doc.withColumnRenamed("doc_id", "row"), "row", "left").drop("row").mapInArrow(_cut, schema)
+    return rows.join(per_doc.withColumnRenamed("doc_id", "row"), "row", "left").drop("row").mapInArrow(released(_cut), schema)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quizmill.functions import text
 from quizmill.operators import grading, layout, lines, messages, normalize, report, rules
-from quizmill.plans import documents, queries, reporting, runs  # noqa: F401, the others register their queries
+from quizmill.plans import authored, documents, lines_of_bundles, pages, queries, reporting, runs  # noqa: F401, the others register their queries
 from quizmill.schemas import ASSET, GROUP
 from quizmill.sources import authoring, bundle, registry
 from quizmill.streaming.ingest import reviewed

@@ -52,12 +52,15 @@ def canonical(text: Column) -> Column:
     return F.trim(F.when(found, respelt).otherwise(out))
 
 
+MARKS = r"[ \t*#/;!%-]*"
 #: Real copyright statements: a sign, a year or a holder's name follows; not 'copyright notice' or 'copyright holders'.
-STATEMENT = (
-    r"(?:^|\n)[ \t*#/;!%-]*(?:(?i:(?:portions[ \t]+)?copyright[ \t:]*(?:\(c\)|©|\d|[<\[{]))|(?i:\(c\)[ \t]*(?:copyright|\d|[<\[{]))|©"
-    r"|(?:Copyright|COPYRIGHT)[ \t]+(?!(?i:notices?|holders?|owners?|licen[cs]es?|laws?|and|or|in|is|as|to|of|by|statements?|interests?|rights?|protection|disclaimers?|treaty|acts?|ownership|permissions?|status|materials?|works?|information|infringement|with|for|on|that|which|shall|will|may|can|under|related)\b)[A-Z])[^\n]*"
-    r"|(?:^|\n)[ \t*#/;!%-]*(?i:all rights reserved)[ \t.\r]*(?=\n|$)"
+SIGNED = r"(?:(?i:(?:portions[ \t]+)?copyright[ \t:]*(?:\(c\)|©|\d|[<\[{]))|(?i:\(c\)[ \t]*(?:copyright|\d|[<\[{]))|©)"
+NAMED, RESERVED = r"(?:Copyright|COPYRIGHT)[ \t]+", r"(?i:all rights reserved)[ \t.\r]*"
+NO_HOLDER = (
+    r"(?i:notices?|holders?|owners?|licen[cs]es?|laws?|and|or|in|is|as|to|of|by|statements?|interests?|rights?|protection|disclaimers?|treaty|acts?|ownership|permissions?|status"
+    r"|materials?|works?|information|infringement|with|for|on|that|which|shall|will|may|can|under|related)\b"
 )
+STATEMENT = rf"(?:^|\n){MARKS}(?:{SIGNED}|{NAMED}(?!{NO_HOLDER})[A-Z])[^\n]*|(?:^|\n){MARKS}{RESERVED}(?=\n|$)"
 #: Titles in front of a body, in its canonical form.
 TITLES = r"^ (?:(?:the )?(?:(?:mit|expat|mit expat|isc|zlib|zlib libpng|unlicense|(?:new |modified |simplified |revised )?bsd(?: [23] clause)?(?: new| revised| simplified| new or revised)?) license(?: (?:mit|expat|isc|zlib|bsd [23] clause|freebsd))?) )+"
 # What differs between the usual forms of one text.
@@ -114,18 +117,39 @@ def scan_licences(docs: DataFrame, known: dict[str, list[str]] | None = None) ->
 
 
 def oracle_sql() -> str:
-    """The same over the view documents, in DuckDB's SQL."""
-    def canon(x: str) -> str:
-        out = f"regexp_replace(lower({x}), '{COPYRIGHT_LINE.replace(chr(92) + 'n', chr(10)).replace(chr(92) + 't', chr(9))}', chr(10), 'g')"
-        out = rf"(' ' || regexp_replace({out}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g') || ' ')"
+    """The same over the view documents, in DuckDB's SQL. Its patterns have no lookahead, so statements are told line by line."""
+    split = r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'"
+
+    def respelt(x: str) -> str:
         for one, other in SPELLINGS:
-            out = f"replace({out}, ' {one} ', ' {other} ')"
-        return f"sha256(trim({out}))"
+            x = f"replace({x}, ' {one} ', ' {other} ')"
+        return x
 
-    values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, texts in KNOWN.items() for text in texts)
-    return f"""WITH listed AS (SELECT {canon('t')} AS digest, min(l) AS licence FROM (VALUES {values}) AS k(l, t) GROUP BY 1),
+    def canon(x: str) -> str:
+        out = f"regexp_replace(lower({x}), '{COPYRIGHT_LINE.replace(chr(92) + 'n', chr(10)).replace(chr(92) + 't', chr(9))}', chr(10), 'g')"
+        return "sha256(trim({}))".format(respelt(f"(' ' || regexp_replace({out}, {split}) || ' ')"))
+
+    def bare(x: str) -> str:
+        stated = f"regexp_matches(l, '^{MARKS}(?:{SIGNED}|{RESERVED}$)') OR (regexp_matches(l, '^{MARKS}{NAMED}[A-Z]') AND NOT regexp_matches(l, '^{MARKS}{NAMED}{NO_HOLDER}'))"
+        kept = f"array_to_string([CASE WHEN {stated} THEN '' ELSE l END FOR l IN string_split({x}, chr(10))], chr(10))"
+        out = respelt(f"(' ' || regexp_replace(lower({kept}), {split}) || ' ')")
+        for pattern, other in FORMS:
+            if pattern.endswith("(?= )"):  # twice, as neighbours share a space
+                out = "replace(replace({0}, '{1} ', '{2} '), '{1} ', '{2} ')".format(out, pattern.removesuffix("(?= )"), other)
+            else:
+                out = "regexp_replace({}, '{}', '{}', 'g')".format(out, pattern, other.replace("$", chr(92)))
+        return f"trim(regexp_replace(regexp_replace({out}, ' +', ' ', 'g'), '{TITLES}', ' '))"
+
+    def values(rows: list[tuple[str, str]]) -> str:
+        return ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in rows)
+
+    short = [(name, text) for name, texts in KNOWN.items() for text in texts]
+    return f"""WITH listed AS (SELECT {canon('t')} AS digest, min(l) AS licence FROM (VALUES {values(short)}) AS k(l, t) GROUP BY 1),
+    bodies AS (SELECT body, min(name) AS by_body FROM (SELECT name, {bare('t')} AS body FROM (VALUES {values(short + full_texts())}) AS k(name, t)) WHERE body <> '' GROUP BY 1),
     texts AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
-    whole AS (SELECT doc_id, {canon('text')} AS digest FROM texts),
-    lines AS (SELECT doc_id, {canon('line')} AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts)),
-    found AS (SELECT doc_id, string_agg(licence, ',' ORDER BY licence) AS line_licences FROM (SELECT DISTINCT doc_id, licence FROM lines JOIN listed USING (digest)) GROUP BY 1)
-    SELECT doc_id, digest, licence, coalesce(line_licences, '') AS line_licences FROM whole LEFT JOIN listed USING (digest) LEFT JOIN found USING (doc_id)"""
+    whole AS (SELECT doc_id, text, {canon('text')} AS digest, {bare('text')} AS body FROM texts),
+    found AS (SELECT w.doc_id, w.digest, min(b.by_body) AS by_body FROM whole w LEFT JOIN bodies b USING (body) GROUP BY 1, 2),
+    lines AS (SELECT doc_id, whole, {canon('line')} AS digest FROM (SELECT doc_id, digest AS whole, unnest(string_split(text, chr(10))) AS line FROM whole)),
+    named AS (SELECT doc_id, whole, string_agg(licence, ',' ORDER BY licence) AS line_licences FROM (SELECT DISTINCT doc_id, whole, licence FROM lines JOIN listed USING (digest)) GROUP BY 1, 2)
+    SELECT f.doc_id, f.digest, coalesce(l.licence, f.by_body) AS licence, coalesce(n.line_licences, '') AS line_licences
+    FROM found f LEFT JOIN listed l USING (digest) LEFT JOIN named n ON n.doc_id IS NOT DISTINCT FROM f.doc_id AND n.whole = f.digest"""

@@ -286,6 +286,31 @@ def test_licence_oracle(spark):
     assert Counter(map(tuple, got)) == Counter(want)
 
 
+def test_licence_query_and_its_sql_on_whole_licences(spark):
+    """Query and SQL agree on whole licences in many forms, on rows that share an id, and on texts near to a licence."""
+    import duckdb
+
+    full, rnd = licences.full_texts(), random.Random(3)
+    texts = [t for _, t in full] + [t for known in licences.KNOWN.values() for t in known]
+    forms = [
+        lambda t: "Copyright (c) 2020 Someone\n\n" + t, lambda t: "Copyright Someone\nAll rights reserved.\n" + t, lambda t: t.upper(), lambda t: "MIT License\n\n" + t,
+        lambda t: t.replace("license", "licence").replace("the copyright holders", "the copyright owners"), lambda t: t.replace("http:", "https:").replace("1. ", "* "), lambda t: t + " and more",
+        lambda t: t.replace(" ", "\n", 40), lambda t: t[: len(t) // 2], lambda t: "copyright notice\n" + t, lambda t: t.replace("the University", "Example, Inc.").replace("REGENTS", "COPYRIGHT HOLDERS"),
+        lambda t: "some prose\n" + t + "\nmore prose", lambda t: "# " + t.replace("\n", "\n# "),
+    ]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(1000 + i, rnd.choice(forms)(rnd.choice(forms)(t))) for i, t in enumerate(texts * 3)]
+    rows += [(1, "other text"), (1, "SPDX-License-Identifier: MIT"), (None, texts[0]), (None, None), (2000, ""), (2001, "https https https")]
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    got = licences.scan_licences(table(spark, rows)).select("doc_id", "digest", "licence", "line_licences").collect()
+    want = con.sql("select doc_id, digest, licence, line_licences from (" + registry.oracle_sql()["op8_license_scan"] + ")").fetchall()
+    assert Counter(map(tuple, got)) == Counter(want)
+    named = {r.doc_id: r.licence for r in got if r.doc_id is not None and 1 < r.doc_id < len(full)}
+    assert named == {i: name for i, (name, _) in enumerate(full) if i > 1} and sum(r.licence is not None for r in got) > 60
+
+
 def test_neighbours(spark):
     rnd = np.random.default_rng(1)
     points = rnd.standard_normal((900, 16))

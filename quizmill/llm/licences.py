@@ -94,22 +94,41 @@ def body(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(out, " +", " "), TITLES, " "))
 
 
+def possible(low: Column, forms: list[str], words: int = 3) -> Column:
+    """Whether a lower-cased text may have one of these canonical forms, or a line that has: it holds, for one of them,
+    its longest words. Words that a replacement may have written count in their other spelling too, or not at all."""
+    spelt = {other: one.split()[0] for one, other in SPELLINGS if " " not in other}
+    written = {w for _, other in (*SPELLINGS, *FORMS) if other not in spelt for w in other.split()}
+    picked = {tuple(sorted({w for w in form.split() if w not in written and w.isascii()}, key=lambda w: (-len(w), w))[:words]) for form in forms if form}
+    found = F.lit(False)
+    for chosen in sorted(picked):
+        here = F.lit(True)
+        for w in chosen:
+            here = here & (low.contains(w) | low.contains(spelt[w]) if w in spelt else low.contains(w))
+        found = found | here
+    return found
+
+
 def scan_licences(docs: DataFrame, known: dict[str, list[str]] | None = None) -> DataFrame:
     """doc_id, digest (SHA-256 of the canonical text), licence (whose whole text it is, else null), line_licences.
 
     licence goes by the digest, else by that of the body, among the known texts and (without ``known``) ``full_texts``.
     line_licences: the sorted, comma-joined licences whose known text is one whole line ('' if none). Null texts are
     empty and match nothing; rows repeated as wholes come out once; extra columns are ignored; empty tables give no
-    rows. The known licences, a table whose size the caller fixes, are all that is broadcast.
+    rows. The known licences, a table whose size the caller fixes, are all that is broadcast; their canonical forms are
+    read by the driver. Bodies and lines are made only of texts that hold the words of a known one (see ``possible``).
     """
     spark = docs.sparkSession
-    entries = [(name, text) for name, texts in (KNOWN if known is None else known).items() for text in texts]
-    listed = spark.createDataFrame(entries, "licence string, text string").select("licence", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("licence").alias("licence"))
-    bodies = spark.createDataFrame(entries + (full_texts() if known is None else []), "by_body string, text string").select("by_body", body(F.col("text")).alias("body"))
-    bodies = bodies.where("body <> ''").groupBy(F.sha2("body", 256).alias("body")).agg(F.min("by_body").alias("by_body"))
-    texts = ids_and_text(docs)
-    lines = texts.select("doc_id", "text", F.sha2(canonical(F.col("text")), 256).alias("whole"), F.sha2(body(F.col("text")), 256).alias("body"))
-    lines = lines.join(F.broadcast(bodies), "body", "left").select("doc_id", "whole", "by_body", F.explode(F.split("text", "\n")).alias("line"))
+    short = [(name, text) for name, texts in (KNOWN if known is None else known).items() for text in texts]
+    entries = [(n, t, True) for n, t in short] + [(n, t, False) for n, t in (full_texts() if known is None else [])]
+    forms = spark.createDataFrame(entries, "name string, text string, short boolean").select("name", "short", canonical(F.col("text")).alias("whole"), body(F.col("text")).alias("body")).collect()
+    listed = spark.createDataFrame([(r.name, r.whole) for r in forms if r.short], "licence string, form string").groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("licence").alias("licence"))
+    bodies = spark.createDataFrame([(r.name, r.body) for r in forms if r.body], "by_body string, form string").groupBy(F.sha2("form", 256).alias("body")).agg(F.min("by_body").alias("by_body"))
+    told = possible(F.col("low"), [r.whole for r in forms if r.short] + [r.body for r in forms])
+    texts = ids_and_text(docs).select("doc_id", "text", F.lower("text").alias("low"))
+    texts = texts.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("whole"), F.when(told, F.col("text")).alias("text"))
+    lines = texts.select("doc_id", "whole", "text", F.sha2(body(F.col("text")), 256).alias("body")).join(F.broadcast(bodies), "body", "left")
+    lines = lines.select("doc_id", "whole", "by_body", F.explode_outer(F.split("text", "\n")).alias("line"))
     lines = lines.select("doc_id", "whole", "by_body", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(F.broadcast(listed), "digest", "left")
     found = lines.groupBy("doc_id", "whole").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("line_licences"), F.min("by_body").alias("by_body"))
     found = found.withColumnRenamed("whole", "digest").join(F.broadcast(listed), "digest", "left")

@@ -311,6 +311,17 @@ def test_licence_query_and_its_sql_on_whole_licences(spark):
     assert named == {i: name for i, (name, _) in enumerate(full) if i > 1} and sum(r.licence is not None for r in got) > 60
 
 
+def test_possible_licences_lose_none(spark):
+    """The words that a text must hold never rule out a text whose form is known."""
+    spelt = ["Licenced under the Apache Licence, Version 2.0.", "SPDX-Licence-Identifier: MIT", "LICENSED UNDER CC BY 4.0!", "nothing of the kind", ""]
+    known = [t for group in licences.KNOWN.values() for t in group]
+    docs = spark.createDataFrame([(t,) for t in spelt + known], "text string").select("text", F.lower("text").alias("low"), licences.canonical(F.col("text")).alias("form"))
+    forms = [r.form for r in docs.collect()[len(spelt) :]]
+    got = docs.select("text", licences.possible(F.col("low"), forms).alias("told"), F.col("form").isin(forms).alias("listed")).collect()
+    assert all(r.told for r in got if r.listed) and not any(r.told for r in got if r.text in spelt[3:])
+    assert sum(r.listed for r in got) == len(known) + 3
+
+
 def test_neighbours(spark):
     rnd = np.random.default_rng(1)
     points = rnd.standard_normal((900, 16))

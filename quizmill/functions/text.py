@@ -29,22 +29,22 @@ def or_empty(c: Column, kind: str = "string") -> Column:
 
 
 def ids_of(items: Column) -> Column:
-    return or_empty(F.transform(items, lambda x: x["id"]))
+    return or_empty(items["id"])
 
 
 def repeats(c: Column) -> Column:
-    """Each element after its first occurrence, in order."""
-    return F.filter(c, lambda x, i: F.array_position(F.slice(c, 1, i), x) > 0)
+    """Each element after its first occurrence, in order. Only lists that do repeat something are gone through."""
+    return F.when(F.size(F.array_distinct(c)) == F.size(c), F.slice(c, 1, 0)).otherwise(F.filter(c, lambda x, i: F.array_position(F.slice(c, 1, i), x) > 0))
 
 
 def unknown(refs: Column, known: Column) -> Column:
-    """References that name nothing known, in order, repeats kept."""
-    return F.filter(refs, lambda r: ~F.array_contains(known, r))
+    """References that name nothing known, in order, repeats kept. Only lists that hold such are gone through."""
+    return F.when(F.size(F.array_except(refs, known)) == 0, F.slice(refs, 1, 0)).otherwise(F.filter(refs, lambda r: ~F.array_contains(known, r)))
 
 
 def same_list(a: Column, b: Column) -> Column:
     """Equal as multisets."""
-    return F.array_sort(a) == F.array_sort(b)
+    return F.sort_array(a) == F.sort_array(b)
 
 
 def same_selection(a: Column, b: Column) -> Column:

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import once
 from ..functions.text import ids_of, or_empty, repeats, same_list, strip, unknown
 from ..schemas import KIND_OF_TYPE
 
@@ -21,7 +22,16 @@ Rule = Callable[[], Column]
 def issue(code: str, when: Column, args: Column | None = None, severity: str = "warning", what: str | None = None) -> Column:
     """An array of one issue where ``when`` holds, else an empty one."""
     one = F.array(F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), (F.array().cast("array<string>") if args is None else args).alias("args"), F.lit(what or code).alias("what")))
-    return F.when(when, one).otherwise(F.slice(one, 1, 0))
+    return F.when(when, one).otherwise(_none())
+
+
+def _none() -> Column:
+    return F.array().cast("array<struct<severity: string, code: string, args: array<string>, what: string>>")
+
+
+def _of(kind: str, *found: Column) -> Column:
+    """Issues of questions of one kind; others are not looked at."""
+    return F.when(_is(kind), F.concat(*found)).otherwise(_none())
 
 
 def _q(name: str) -> Column:
@@ -48,37 +58,40 @@ def type_mismatch() -> Column:
 
 def choice_answers() -> Column:
     ids, right = ids_of(_q("options")), or_empty(_q("correct_option_ids"))
-    choice, n = _is("choice"), F.size(or_empty(_q("correct_option_ids")))
+    n = F.size(right)
     lost = unknown(right, ids)
-    return F.concat(
-        issue("missing_options", choice & (F.size(ids) < 2), F.array(F.size(ids).cast("string"))),
-        issue("duplicate_option_ids", choice & (F.size(repeats(ids)) > 0), repeats(ids)),
-        issue("missing_correct_answer", choice & (n == 0)),
-        issue("invalid_answer_reference", choice & (n > 0) & (F.size(lost) > 0), lost),
-        issue("answer_count_mismatch", choice & (F.col("type") == "single_choice") & (n > 1), F.array(n.cast("string")), what="single_choice_answers"),
-        issue("answer_count_mismatch", choice & (F.col("type") == "true_false") & (F.size(ids) != 2), F.array(F.size(ids).cast("string")), what="true_false_options"),
-        issue("answer_count_mismatch", choice & (F.col("type") == "true_false") & (n > 1), F.array(n.cast("string")), what="true_false_answers"),
+    return _of(
+        "choice",
+        issue("missing_options", F.size(ids) < 2, F.array(F.size(ids).cast("string"))),
+        issue("duplicate_option_ids", F.size(repeats(ids)) > 0, repeats(ids)),
+        issue("missing_correct_answer", n == 0),
+        issue("invalid_answer_reference", (n > 0) & (F.size(lost) > 0), lost),
+        issue("answer_count_mismatch", (F.col("type") == "single_choice") & (n > 1), F.array(n.cast("string")), what="single_choice_answers"),
+        issue("answer_count_mismatch", (F.col("type") == "true_false") & (F.size(ids) != 2), F.array(F.size(ids).cast("string")), what="true_false_options"),
+        issue("answer_count_mismatch", (F.col("type") == "true_false") & (n > 1), F.array(n.cast("string")), what="true_false_answers"),
     )
 
 
 def ordering_answers() -> Column:
-    ids, order, mine = ids_of(_q("items")), or_empty(_q("correct_order")), _is("ordering")
-    return F.concat(
-        issue("invalid_ordering", mine & (F.size(repeats(ids)) > 0), repeats(ids), what="ordering_repeats"),
-        issue("missing_correct_answer", mine & (F.size(order) == 0), what="ordering_empty"),
-        issue("invalid_ordering", mine & (F.size(order) > 0) & ~same_list(order, ids), what="ordering_not_once"),
+    ids, order = ids_of(_q("items")), or_empty(_q("correct_order"))
+    return _of(
+        "ordering",
+        issue("invalid_ordering", F.size(repeats(ids)) > 0, repeats(ids), what="ordering_repeats"),
+        issue("missing_correct_answer", F.size(order) == 0, what="ordering_empty"),
+        issue("invalid_ordering", (F.size(order) > 0) & ~same_list(order, ids), what="ordering_not_once"),
     )
 
 
 def _pairing(kind: str, code: str, left: str, right: str, pairs: str, sides: tuple[str, str]) -> Column:
-    mine, one, two = _is(kind), ids_of(_q(left)), ids_of(_q(right))
+    one, two = ids_of(_q(left)), ids_of(_q(right))
     side = [or_empty(_q(pairs)[s]) for s in sides]
     twice = F.concat(repeats(one), repeats(two))
-    return F.concat(
-        issue(code, mine & (F.size(twice) > 0), twice, what=f"{kind}_repeats"),
-        issue("missing_correct_answer", mine & (F.size(side[0]) == 0), what=f"{kind}_empty"),
-        issue(code, mine & (F.size(unknown(side[0], one)) > 0), unknown(side[0], one), what=f"{kind}_left"),
-        issue(code, mine & (F.size(unknown(side[1], two)) > 0), unknown(side[1], two), what=f"{kind}_right"),
+    return _of(
+        kind,
+        issue(code, F.size(twice) > 0, twice, what=f"{kind}_repeats"),
+        issue("missing_correct_answer", F.size(side[0]) == 0, what=f"{kind}_empty"),
+        issue(code, F.size(unknown(side[0], one)) > 0, unknown(side[0], one), what=f"{kind}_left"),
+        issue(code, F.size(unknown(side[1], two)) > 0, unknown(side[1], two), what=f"{kind}_right"),
     )
 
 
@@ -91,13 +104,14 @@ def drag_drop_answers() -> Column:
 
 
 def blank_answers() -> Column:
-    blanks, mine = _q("blanks"), _is("fill_in_blank")
-    ids = or_empty(F.transform(blanks, lambda b: b["id"]))
-    bare = or_empty(F.transform(F.filter(blanks, lambda b: F.size(or_empty(b["accepted"])) == 0), lambda b: b["id"]))
-    each = F.transform(F.when(mine, bare).otherwise(F.slice(bare, 1, 0)), lambda x: F.struct(F.lit("warning").alias("severity"), F.lit("missing_correct_answer").alias("code"), F.array(x).alias("args"), F.lit("blank_unanswered").alias("what")))
-    return F.concat(
-        issue("missing_correct_answer", mine & (F.size(ids) == 0), what="blanks_empty"),
-        issue("duplicate_blank_ids", mine & (F.size(repeats(ids)) > 0), ids),
+    blanks = _q("blanks")
+    ids = ids_of(blanks)
+    bare = or_empty(F.filter(blanks, lambda b: F.size(or_empty(b["accepted"])) == 0)["id"])
+    each = F.transform(bare, lambda x: F.struct(F.lit("warning").alias("severity"), F.lit("missing_correct_answer").alias("code"), F.array(x).alias("args"), F.lit("blank_unanswered").alias("what")))
+    return _of(
+        "fill_in_blank",
+        issue("missing_correct_answer", F.size(ids) == 0, what="blanks_empty"),
+        issue("duplicate_blank_ids", F.size(repeats(ids)) > 0, ids),
         each,
     )
 
@@ -113,7 +127,8 @@ def with_issues(questions: DataFrame, rules: Sequence[Rule] | None = None) -> Da
 
     found = [numbered(n, r) for n, r in enumerate(ROW_RULES if rules is None else rules)]
     none = F.array().cast("array<struct<rule: int, severity: string, code: string, args: array<string>, what: string>>")
-    return questions.withColumn("issues", F.concat(*found) if found else none)
+    # questions may be a long plan and issues are read by several steps and filters: both are made once
+    return once(once(questions).withColumn("issues", F.concat(*found) if found else none))
 
 
 def row_issues(questions: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
@@ -189,5 +204,7 @@ def placed_blocks(items: Column) -> Column:
 
 def iter_blocks(questions: DataFrame) -> DataFrame:
     """One row per block: run_id, item_seq, pos, place (stem, item 'x', explanation) and the block's fields."""
-    shown = questions.withColumn("shown", display_items())
-    return shown.select("run_id", "item_seq", F.posexplode(placed_blocks(F.col("shown"))).alias("pos", "x")).select("run_id", "item_seq", "pos", "x.place", "x.b.*")
+    own = once(questions.select("run_id", "item_seq", "stem", "interaction", "explanation"))
+    shown = once(own.select("run_id", "item_seq", "stem", "explanation", display_items().alias("shown")))
+    placed = once(shown.select("run_id", "item_seq", placed_blocks(F.col("shown")).alias("placed")))
+    return placed.select("run_id", "item_seq", F.posexplode("placed").alias("pos", "x")).select("run_id", "item_seq", "pos", "x.place", "x.b.*")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quizmill.functions import text
+from quizmill.plans import authored
+from quizmill.sources import authoring
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +37,18 @@ def test_lists_with_nulls(spark):
     rows = spark.createDataFrame([(a, b) for a in lists for b in lists], "a array<string>, b array<string>")
     long = F.filter("a", lambda x, i: F.array_position(F.slice("a", 1, i), x) > 0), F.filter("a", lambda r: ~F.array_contains("b", r))
     assert rows.select(text.repeats(F.col("a")), text.unknown(F.col("a"), F.col("b"))).collect() == rows.select(*long).collect()
+
+
+@pytest.mark.parametrize("name", ["authoring_groups", "authoring_items"])
+def test_groups_of_a_document_are_found_in_its_row(spark, name):
+    """What a group owns takes no join and no broadcast: documents grow large, whatever the planner takes them for."""
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+
+
+def test_questions_are_parsed_once_when_they_can_be_read(spark, monkeypatch):
+    """Only narrow rows are kept: what reading comes upon, and numbers; no parsed question is written."""
+    kept = []
+    items = authoring.read_items(authored.documents(spark, SF), authored.files(spark, SF), keep=lambda df: kept.append(df.columns) or df)
+    assert len(kept) == 2 and not any("interaction" in columns for columns in kept)
+    assert "interaction" in items.questions.columns

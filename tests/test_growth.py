@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quizmill.functions import text
-from quizmill.plans import authored
+from quizmill.operators import normalize
+from quizmill.plans import authored, runs
+from quizmill.plans.bindings import written
 from quizmill.sources import authoring
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +54,16 @@ def test_questions_are_parsed_once_when_they_can_be_read(spark, monkeypatch):
     items = authoring.read_items(authored.documents(spark, SF), authored.files(spark, SF), keep=lambda df: kept.append(df.columns) or df)
     assert len(kept) == 2 and not any("interaction" in columns for columns in kept)
     assert "interaction" in items.questions.columns
+
+
+def test_whole_runs_shuffle_no_wide_rows_to_make_their_input(spark):
+    """The bank that a whole run reads is numbered and written once; its tables are projections of it."""
+    for table in runs._tables(spark, SF):
+        assert "Exchange" not in table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_wide_rows_are_not_sorted_to_rename_them(spark):
+    questions, groups, assets, _, _ = runs._tables(spark, SF)
+    done, *_ = normalize.normalize_run(questions, groups, assets, written)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan

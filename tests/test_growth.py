@@ -67,3 +67,8 @@ def test_wide_rows_are_not_sorted_to_rename_them(spark):
     done, *_ = normalize.normalize_run(questions, groups, assets, written)
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_documents_made_of_small_keys_are_spread(spark):
+    """Keys of a few bytes are not coalesced into one task that makes all documents."""
+    assert runs._authored(spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def once(df: DataFrame) -> DataFrame:
-    """df through a generator: its columns are made once, and not again in each place, filters among them, that reads them.
+def once(df: DataFrame, *columns: str) -> DataFrame:
+    """df with these columns (none named: all) through a generator: they are made once, and not again in each place, filters among them, that reads them.
 
     The optimiser writes a column's expression into later projections and into the filters that it puts before explode;
-    it doesn't do so across a generator.
+    it doesn't do so across a generator. Columns that don't go through it are still left out where nothing reads them.
     """
-    return df.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))
+    through = columns or df.columns
+    named = [f"`{c}`" for c in df.columns]
+    made = F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in through))))
+    return df.select(*(c for c in named if c.strip("`") not in through), made).select(*named)

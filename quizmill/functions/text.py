@@ -32,9 +32,14 @@ def ids_of(items: Column) -> Column:
     return or_empty(items["id"])
 
 
+def repeated(c: Column) -> Column:
+    """Whether an element occurs twice."""
+    return F.size(F.array_distinct(c)) < F.size(c)
+
+
 def repeats(c: Column) -> Column:
     """Each element after its first occurrence, in order. Only lists that do repeat something are gone through."""
-    return F.when(F.size(F.array_distinct(c)) == F.size(c), F.slice(c, 1, 0)).otherwise(F.filter(c, lambda x, i: F.array_position(F.slice(c, 1, i), x) > 0))
+    return F.when(~repeated(c), F.slice(c, 1, 0)).otherwise(F.filter(c, lambda x, i: F.array_position(F.slice(c, 1, i), x) > 0))
 
 
 def unknown(refs: Column, known: Column) -> Column:
@@ -42,6 +47,11 @@ def unknown(refs: Column, known: Column) -> Column:
     return F.when(F.size(F.array_except(refs, known)) == 0, F.slice(refs, 1, 0)).otherwise(F.filter(refs, lambda r: ~F.array_contains(known, r)))
 
 
+def some_unknown(refs: Column, known: Column) -> Column:
+    """Whether ``unknown`` lists any."""
+    return (F.size(F.array_except(refs, known)) > 0) & F.exists(refs, lambda r: ~F.array_contains(known, r))
+
+
 def same_list(a: Column, b: Column) -> Column:
     """Equal as multisets."""
     return F.sort_array(a) == F.sort_array(b)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rows import once
-from ..functions.text import ids_of, or_empty, repeats, same_list, strip, unknown
+from ..functions.text import ids_of, or_empty, repeated, repeats, same_list, some_unknown, strip, unknown
 from ..schemas import KIND_OF_TYPE
 
 ISSUES = ("run_id", "item_seq", "rule", "n", "severity", "code", "args")
@@ -59,13 +59,12 @@ def type_mismatch() -> Column:
 def choice_answers() -> Column:
     ids, right = ids_of(_q("options")), or_empty(_q("correct_option_ids"))
     n = F.size(right)
-    lost = unknown(right, ids)
     return _of(
         "choice",
         issue("missing_options", F.size(ids) < 2, F.array(F.size(ids).cast("string"))),
-        issue("duplicate_option_ids", F.size(repeats(ids)) > 0, repeats(ids)),
+        issue("duplicate_option_ids", repeated(ids), repeats(ids)),
         issue("missing_correct_answer", n == 0),
-        issue("invalid_answer_reference", (n > 0) & (F.size(lost) > 0), lost),
+        issue("invalid_answer_reference", (n > 0) & some_unknown(right, ids), unknown(right, ids)),
         issue("answer_count_mismatch", (F.col("type") == "single_choice") & (n > 1), F.array(n.cast("string")), what="single_choice_answers"),
         issue("answer_count_mismatch", (F.col("type") == "true_false") & (F.size(ids) != 2), F.array(F.size(ids).cast("string")), what="true_false_options"),
         issue("answer_count_mismatch", (F.col("type") == "true_false") & (n > 1), F.array(n.cast("string")), what="true_false_answers"),
@@ -76,7 +75,7 @@ def ordering_answers() -> Column:
     ids, order = ids_of(_q("items")), or_empty(_q("correct_order"))
     return _of(
         "ordering",
-        issue("invalid_ordering", F.size(repeats(ids)) > 0, repeats(ids), what="ordering_repeats"),
+        issue("invalid_ordering", repeated(ids), repeats(ids), what="ordering_repeats"),
         issue("missing_correct_answer", F.size(order) == 0, what="ordering_empty"),
         issue("invalid_ordering", (F.size(order) > 0) & ~same_list(order, ids), what="ordering_not_once"),
     )
@@ -88,10 +87,10 @@ def _pairing(kind: str, code: str, left: str, right: str, pairs: str, sides: tup
     twice = F.concat(repeats(one), repeats(two))
     return _of(
         kind,
-        issue(code, F.size(twice) > 0, twice, what=f"{kind}_repeats"),
+        issue(code, repeated(one) | repeated(two), twice, what=f"{kind}_repeats"),
         issue("missing_correct_answer", F.size(side[0]) == 0, what=f"{kind}_empty"),
-        issue(code, F.size(unknown(side[0], one)) > 0, unknown(side[0], one), what=f"{kind}_left"),
-        issue(code, F.size(unknown(side[1], two)) > 0, unknown(side[1], two), what=f"{kind}_right"),
+        issue(code, some_unknown(side[0], one), unknown(side[0], one), what=f"{kind}_left"),
+        issue(code, some_unknown(side[1], two), unknown(side[1], two), what=f"{kind}_right"),
     )
 
 
@@ -111,7 +110,7 @@ def blank_answers() -> Column:
     return _of(
         "fill_in_blank",
         issue("missing_correct_answer", F.size(ids) == 0, what="blanks_empty"),
-        issue("duplicate_blank_ids", F.size(repeats(ids)) > 0, ids),
+        issue("duplicate_blank_ids", repeated(ids), ids),
         each,
     )
 
@@ -122,18 +121,24 @@ ROW_RULES: tuple[Rule, ...] = (missing_label, empty_stem, type_mismatch, choice_
 
 def with_issues(questions: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     """The questions and a column ``issues``; rules None: the defaults, empty: none."""
-    def numbered(n: int, rule: Rule) -> Column:
-        return F.transform(rule(), lambda x: F.struct(F.lit(n).alias("rule"), x["severity"].alias("severity"), x["code"].alias("code"), x["args"].alias("args"), x["what"].alias("what")))
+    return once(_checked(questions, rules), "issues")
 
-    found = [numbered(n, r) for n, r in enumerate(ROW_RULES if rules is None else rules)]
+
+def _checked(questions: DataFrame, rules: Sequence[Rule] | None) -> DataFrame:
+    """Each rule's issues are made by built-in functions alone; only those that are there are gone through, to be numbered."""
+    made = [r() for r in (ROW_RULES if rules is None else rules)]
+    found = once(questions.withColumn("_found", F.array(*made) if made else F.array(_none())), "_found")
+    one = lambda x, n: F.struct(n.alias("rule"), x["severity"].alias("severity"), x["code"].alias("code"), x["args"].alias("args"), x["what"].alias("what"))
+    numbered = F.flatten(F.transform("_found", lambda of, n: F.transform(of, lambda x: one(x, n))))
     none = F.array().cast("array<struct<rule: int, severity: string, code: string, args: array<string>, what: string>>")
-    # questions may be a long plan and issues are read by several steps and filters: both are made once
-    return once(once(questions).withColumn("issues", F.concat(*found) if found else none))
+    return found.withColumn("issues", F.when(F.size(F.flatten("_found")) == 0, none).otherwise(numbered)).drop("_found")
 
 
 def row_issues(questions: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     """One row per issue of the row rules, in order of rule."""
-    return with_issues(questions, rules).select("run_id", "item_seq", F.posexplode("issues").alias("n", "i")).select("run_id", "item_seq", "i.rule", "n", "i.severity", "i.code", "i.args")
+    # outer: no filter is put below, where it would make the issues once more
+    each = _checked(questions, rules).select("run_id", "item_seq", F.posexplode_outer("issues").alias("n", "i")).where("i is not null")
+    return each.select("run_id", "item_seq", "i.rule", "n", "i.severity", "i.code", "i.args")
 
 
 def _named(df: DataFrame, rule: int, code: str, args: Column) -> DataFrame:

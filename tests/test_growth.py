@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quizmill.functions import text
-from quizmill.operators import normalize
-from quizmill.plans import authored, runs
+from quizmill.operators import normalize, rules
+from quizmill.plans import authored, bindings, runs
 from quizmill.plans.bindings import written
 from quizmill.sources import authoring
 
@@ -72,3 +72,35 @@ def test_wide_rows_are_not_sorted_to_rename_them(spark):
 def test_documents_made_of_small_keys_are_spread(spark):
     """Keys of a few bytes are not coalesced into one task that makes all documents."""
     assert runs._authored(spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_the_bank_is_numbered_before_its_texts_are_made(spark):
+    """What is shuffled and sorted to number a run's questions are columns of the table, no text made of them."""
+    plan = bindings.flat_bank(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "single_choice" in plan.split("Window")[0] and "single_choice" not in plan.split("Window")[1]
+
+
+def test_lists_that_the_bank_does_not_know_are_split(spark):
+    flat = spark.createDataFrame([("r", 1, "q1", None, "matching", "matching", ids, refs, 1, None, 0) for ids, refs in (("a,b", "b,a"), ("x,y", "y"), ("a", None))], bindings.flat_bank(spark, SF).schema)
+    found = bindings.bank(spark, SF, flat=flat).select("interaction.left.id", "interaction.pairs.right_id").collect()
+    assert [tuple(r) for r in found] == [(["a", "b"], ["b", "a"]), (["x", "y"], ["y"]), (["a"], [])]
+
+
+def test_rules_are_not_gone_through_to_be_numbered(spark):
+    """A lambda's input is interpreted: issues are numbered of a column made before, across a generator."""
+    plan = optimized(rules.with_issues(bindings.bank(spark, SF)))
+    numbered = [line for line in plan.splitlines() if "transform(_found" in line]
+    assert numbered and not any("duplicate_option_ids" in line for line in numbered)
+
+
+def test_some_unknown_is_unknown_that_lists_any(spark):
+    lists = [None, [], ["a"], ["a", "a"], [None], ["a", None], ["b", "a"]]
+    rows = spark.createDataFrame([(a, b) for a in lists for b in lists], "a array<string>, b array<string>")
+    some, found = F.coalesce(text.some_unknown(F.col("a"), F.col("b")), F.lit(False)), F.coalesce(F.size(text.unknown(F.col("a"), F.col("b"))) > 0, F.lit(False))
+    assert rows.where(some != found).count() == 0
+
+
+def test_grading_joins_only_what_is_right(spark):
+    """Options and their contents take no part in the join of answers."""
+    plan = entry.queries()["graded_runs"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "interaction.content" not in plan and "AS options" not in plan.split("Join")[0]

@@ -148,6 +148,13 @@ def classify(flowed: DataFrame, cfg: ParserConfig = DEFAULT) -> DataFrame:
     return df.withColumns({"content": content, "line_issues": issues}).drop("_suffix", "_at", *rest)
 
 
+def assembled_from(classified: DataFrame) -> DataFrame:
+    """Of ``classify`` rows, what ``assemble_questions`` reads: to be written, lines stand there once, with their spans only where these are shown."""
+    kept = ("doc_id", "slice_no", "flow_pos", "item", "page", "x0", "y0", "y1", "ordinal", "group_no", "label", "role", "option_no", "option_id", "option_label", "letters", "content", "line_issues", "asset_id", "rows")
+    spans = [F.when(F.col("item") == "mono", F.col("spans")).alias("spans")] if "spans" in classified.columns else []
+    return classified.select(*(c for c in kept if c in classified.columns), *spans)
+
+
 def contexts(flowed: DataFrame) -> DataFrame:
     """Group slices' items as content of the role context; the header line is all label and shows nothing."""
     shown = F.when((F.col("boundary").isNull()) & F.col("item").isin("text", "mono"), F.col("text"))

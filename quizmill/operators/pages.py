@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,12 +41,42 @@ class Pages:
 
 @dataclass(frozen=True)
 class Document:
-    """What a document's pages hold; item_seq is the number of the slice."""
+    """What a document's pages hold; item_seq is the number of the slice. Questions and groups are made when they are asked for."""
 
     segmented: DataFrame
-    questions: DataFrame  #: schemas.QUESTION and issues (ISSUES)
-    groups: DataFrame  #: schemas.GROUP and issues
-    assets: DataFrame  #: run_id, item_seq, asset_no, id, kind, media_type, page, bbox, xref
+    objects: DataFrame  #: ``slice_objects``
+    cfg: ParserConfig = DEFAULT
+    dpi: int = CROP_DPI
+    keep: Callable[[DataFrame], DataFrame] = lambda df: df
+
+    @cached_property
+    def _images(self) -> DataFrame:
+        return image_assets(self.objects, self.dpi)
+
+    @cached_property
+    def assets(self) -> DataFrame:
+        """run_id, item_seq, asset_no, id, kind, media_type, page, bbox, xref."""
+        return self._images.drop("issue")
+
+    def _flowed(self, kind: str) -> DataFrame:
+        own = F.col("slice_kind") == kind
+        return lines.flow(self.segmented.where(own), self.objects.where(own))
+
+    def _with_images(self, items: DataFrame, issues: Column) -> DataFrame:
+        noted = self._images.where("issue is not null").groupBy("run_id", "item_seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("asset_no", "issue"))), lambda x: x["issue"]).alias("of_images"))
+        return items.join(noted, ["run_id", "item_seq"], "left").withColumn("issues", F.concat(F.coalesce("of_images", F.array().cast(ISSUES)), issues)).drop("of_images")
+
+    @cached_property
+    def questions(self) -> DataFrame:
+        """schemas.QUESTION and issues (ISSUES)."""
+        own = F.transform("issues", lambda i: F.struct(F.lit("warning").alias("severity"), i["code"].alias("code"), i["args"].alias("args"), i["page"].cast("int").alias("page")))
+        classified = self.keep(lines.assembled_from(lines.classify(self._flowed("question"), self.cfg)))
+        return self._with_images(lines.assemble_questions(classified, self.cfg), own)
+
+    @cached_property
+    def groups(self) -> DataFrame:
+        """schemas.GROUP and issues."""
+        return self._with_images(lines.assemble_groups(self.segmented, self._flowed("group"), self.cfg), F.array().cast(ISSUES))
 
 
 def page_tables(tables: DataFrame) -> DataFrame:
@@ -90,10 +121,10 @@ def page_objects(content: Pages, tables: DataFrame, cfg: ParserConfig = DEFAULT)
 
 
 def slice_objects(segmented: DataFrame, objects: DataFrame) -> DataFrame:
-    """Objects with slice_no and, for images, asset_no and asset_id; those before the first slice are left out."""
+    """Objects with slice_no, slice_kind and, for images, asset_no and asset_id; those before the first slice are left out."""
     owned = lines.own_objects(segmented, objects).where("slice_no > 0").join(objects, ["doc_id", "page", "obj_no"])
     owner = F.when(F.col("kind") == "question", F.concat(F.lit("q"), "ordinal")).otherwise(F.concat(F.lit("g"), "group_no"))
-    owned = owned.join(lines.slices(segmented).select("doc_id", "slice_no", owner.alias("owner")), ["doc_id", "slice_no"])
+    owned = owned.join(lines.slices(segmented).select("doc_id", "slice_no", F.col("kind").alias("slice_kind"), owner.alias("owner")), ["doc_id", "slice_no"])
     images, tables = owned.where("obj_kind = 'image'"), owned.where("obj_kind = 'table'")
     return lines.union_all(lines.figure_assets(images).withColumn("asset_no", F.expr("cast(substring_index(asset_id, '-img', -1) as int)")), tables)
 
@@ -119,21 +150,13 @@ def image_assets(objects: DataFrame, dpi: int = CROP_DPI) -> DataFrame:
 def read_document(content: Pages, cfg: ParserConfig = DEFAULT, dpi: int = CROP_DPI, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Document:
     """Questions, groups and assets of the pages. An item's issues are those of its images, then those of its lines.
 
-    Lines with their slices, the objects of slices and both in reading order are read by several steps: ``keep`` is given
-    each of them once, to write it somewhere and read it again; by default they are computed anew wherever they are read.
+    Lines with their slices, the objects of slices and, where questions are asked for, the classified items of question
+    slices are read by several steps: ``keep`` is given each of them once, to write it somewhere and read it again; by
+    default they are computed anew wherever they are read.
     """
     tables = page_tables(content.tables)
     segmented = keep(lines.segment(page_lines(content.spans, tables, cfg), cfg))
-    objects = keep(slice_objects(segmented, page_objects(content, tables, cfg)))
-    flowed = keep(lines.flow(segmented, objects))
-    assets = image_assets(objects, dpi)
-    noted = assets.where("issue is not null").groupBy("run_id", "item_seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("asset_no", "issue"))), lambda x: x["issue"]).alias("of_images"))
-    none = F.array().cast(ISSUES)
-    own = F.transform("issues", lambda i: F.struct(F.lit("warning").alias("severity"), i["code"].alias("code"), i["args"].alias("args"), i["page"].cast("int").alias("page")))
-    with_images = lambda items, issues: items.join(noted, ["run_id", "item_seq"], "left").withColumn("issues", F.concat(F.coalesce("of_images", none), issues)).drop("of_images")
-    questions = with_images(lines.assemble_questions(lines.classify(flowed, cfg), cfg), own)
-    groups = with_images(lines.assemble_groups(segmented, flowed, cfg), none)
-    return Document(segmented, questions, groups, assets.drop("issue"))
+    return Document(segmented, keep(slice_objects(segmented, page_objects(content, tables, cfg))), cfg, dpi, keep)
 
 
 def document_items(document: Document, pages: DataFrame, notes: DataFrame | None = None, failures: DataFrame | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 from quizmill.functions import text
 from quizmill.operators import normalize, rules
 from quizmill.plans import authored, bindings, runs
+from quizmill.plans import pages as page_queries
 from quizmill.plans.bindings import written
 from quizmill.sources import authoring
 
@@ -104,3 +105,12 @@ def test_grading_joins_only_what_is_right(spark):
     """Options and their contents take no part in the join of answers."""
     plan = entry.queries()["graded_runs"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "interaction.content" not in plan and "AS options" not in plan.split("Join")[0]
+
+
+def test_a_document_makes_only_what_is_asked_for(spark):
+    """Assets and groups need no question's lines in order: only lines and objects are kept; questions keep classified items once, without a second copy of their lines."""
+    kept = []
+    found = page_queries.pages.read_document(page_queries._content(spark, SF), keep=lambda df: kept.append(df.columns) or df)
+    assert found.assets and found.groups and len(kept) == 2
+    assert found.questions and found.questions and len(kept) == 3
+    assert "content" in kept[2] and not {"text", "stripped", "body"} & set(kept[2])

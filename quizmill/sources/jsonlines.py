@@ -159,6 +159,20 @@ def read_lines(spark: SparkSession, path: str, model: Model, schema: str, flag:
 
 
 # -- writing ----------------------------------------------------------------------------------------------------------
+#: What JSON text can hold as it is: printable ASCII without quotes and backslashes.
+PLAIN = r"\A[ !#-\[\]-~]*\z"
+
+
+def _string(value: Column) -> Column:
+    """A string as JSON text, null as null; only texts with something to escape go through a JSON writer."""
+    return F.when(value.isNull(), "null").when(value.rlike(PLAIN), F.concat(F.lit('"'), value, F.lit('"'))).otherwise(_json(value))
+
+
+def _number(value: Column) -> Column:
+    """A whole number as JSON text, null as null."""
+    return F.coalesce(value.cast("string"), F.lit("null"))
+
+
 def _json(value: Column) -> Column:
     """A value as JSON text, null as null."""
     text = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
@@ -176,12 +190,12 @@ def _list(values: Column, one) -> Column:  # noqa: ANN001
 
 def _blocks(values: Column) -> Column:
     def one(b: Column) -> Column:
-        kind = _json(b["kind"])
+        kind = _string(b["kind"])
         shapes = {
-            "verbatim": _object(kind=kind, text=_json(b["text"]), language_hint=_json(b["language_hint"])), "image": _object(kind=kind, asset_id=_json(b["asset_id"]), caption=_json(b["caption"])),
-            "table": _object(kind=kind, rows=_json(b["rows"])),
+            "verbatim": _object(kind=F.lit('"verbatim"'), text=_string(b["text"]), language_hint=_string(b["language_hint"])), "image": _object(kind=F.lit('"image"'), asset_id=_string(b["asset_id"]), caption=_string(b["caption"])),
+            "table": _object(kind=F.lit('"table"'), rows=_json(b["rows"])),
         }
-        out = _object(kind=kind, text=_json(b["text"]))
+        out = _object(kind=kind, text=_string(b["text"]))
         for name, shape in shapes.items():
             out = F.when(b["kind"] == name, shape).otherwise(out)
         return out
@@ -191,18 +205,19 @@ def _blocks(values: Column) -> Column:
 
 def question_line(interaction: Column) -> Column:
     """A question (columns as schemas.QUESTION) as one line: of its blocks and interaction only the fields of their kind, nulls kept."""
-    items = lambda name: _list(interaction[name], lambda i: _object(id=_json(i["id"]), label=_json(i["label"]), content=_blocks(i["content"])))
+    items = lambda name: _list(interaction[name], lambda i: _object(id=_string(i["id"]), label=_string(i["label"]), content=_blocks(i["content"])))
+    texts = lambda values: F.coalesce(_list(values, _string), F.lit("null"))
     plain = lambda name: _json(interaction[name])
-    kind = _json(interaction["kind"])
+    kind = lambda name: F.lit(f'"{name}"')
     shapes = {
-        "choice": _object(kind=kind, options=items("options"), correct_option_ids=plain("correct_option_ids")), "ordering": _object(kind=kind, items=items("items"), correct_order=plain("correct_order")),
-        "matching": _object(kind=kind, left=items("left"), right=items("right"), pairs=plain("pairs")), "drag_and_drop": _object(kind=kind, tokens=items("tokens"), targets=items("targets"), placements=plain("placements")),
-        "fill_in_blank": _object(kind=kind, blanks=plain("blanks")),
+        "choice": _object(kind=kind("choice"), options=items("options"), correct_option_ids=texts(interaction["correct_option_ids"])), "ordering": _object(kind=kind("ordering"), items=items("items"), correct_order=texts(interaction["correct_order"])),
+        "matching": _object(kind=kind("matching"), left=items("left"), right=items("right"), pairs=plain("pairs")), "drag_and_drop": _object(kind=kind("drag_and_drop"), tokens=items("tokens"), targets=items("targets"), placements=plain("placements")),
+        "fill_in_blank": _object(kind=kind("fill_in_blank"), blanks=plain("blanks")),
     }
     answers = F.coalesce(*(F.when(interaction["kind"] == name, shape) for name, shape in shapes.items()))
     col = F.col
     return _object(
-        id=_json(col("id")), source=_object(ordinal=_json(col("source.ordinal")), label=_json(col("source.label")), pages=_json(col("source.pages"))), type=_json(col("type")), group_id=_json(col("group_id")),
+        id=_string(col("id")), source=_object(ordinal=_number(col("source.ordinal")), label=_string(col("source.label")), pages=F.coalesce(_list(col("source.pages"), _number), F.lit("null"))), type=_string(col("type")), group_id=_string(col("group_id")),
         stem=_blocks(col("stem")), interaction=answers, explanation=_blocks(col("explanation")),
     )
 

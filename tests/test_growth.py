@@ -11,7 +11,7 @@ from quizmill.operators import normalize, rules
 from quizmill.plans import authored, bindings, runs
 from quizmill.plans import pages as page_queries
 from quizmill.plans.bindings import written
-from quizmill.sources import authoring
+from quizmill.sources import authoring, jsonlines
 
 SF = "/root/testdata/sf0.001"
 
@@ -114,3 +114,11 @@ def test_a_document_makes_only_what_is_asked_for(spark):
     assert found.assets and found.groups and len(kept) == 2
     assert found.questions and found.questions and len(kept) == 3
     assert "content" in kept[2] and not {"text", "stripped", "body"} & set(kept[2])
+
+
+def test_strings_with_nothing_to_escape_are_quoted(spark):
+    """They are what the JSON writer makes of them, and only the others go through it."""
+    values = ["", "a b", 'q"', "back\\slash", "tab\t", "line\n", "line at the end\n", "\x7f", "é", "/", "~#[]!", None]
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+    assert rows.where(~jsonlines._string(F.col("v")).eqNullSafe(jsonlines._json(F.col("v")))).count() == 0
+    assert "rlike" in optimized(entry.queries()["question_lines"](spark, SF)).lower()

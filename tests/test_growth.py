@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from quizmill.functions import rows as tables
 from quizmill.functions import text
 from quizmill.operators import normalize, rules
 from quizmill.plans import authored, bindings, runs
@@ -122,3 +123,49 @@ def test_strings_with_nothing_to_escape_are_quoted(spark):
     rows = spark.createDataFrame([(v,) for v in values], "v string")
     assert rows.where(~jsonlines._string(F.col("v")).eqNullSafe(jsonlines._json(F.col("v")))).count() == 0
     assert "rlike" in optimized(entry.queries()["question_lines"](spark, SF)).lower()
+
+
+def test_a_task_sorts_a_share_of_the_lines(spark, monkeypatch):
+    """Numbering lines and settling ids: tasks grow in number with the table, not in rows, and families are dealt once for both kinds."""
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 100, raising=False)
+    n = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 100)
+    done = entry.queries()["normalize_ids"](spark, SF)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey" in plan and plan.count(f", {n}), REPARTITION_BY_NUM") == plan.count("Exchange ") > 0
+    assert max(done.select(F.spark_partition_id().alias("p")).groupBy("p").count().toPandas()["count"]) <= 200
+    final = done.select("id", "remapped")
+    final.collect()
+    assert "ReusedExchange" in final._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_runs_settle_ids_in_as_many_tasks(spark):
+    questions, groups, assets, _, _ = runs._tables(spark, SF)
+    kept = []
+    normalize.normalize_run(questions, groups, assets, lambda df: kept.append(df) or df, 37)
+    plan = kept[0]._jdf.queryExecution().executedPlan().toString()
+    assert "_family" in plan and plan.count(", 37), REPARTITION_BY_NUM") >= 2
+
+
+def test_families_are_sorted_once(spark):
+    """Both windows over a family go by one sort, in each branch."""
+    ids = spark.createDataFrame([("r", 1, "x")], "run_id string, item_seq int, raw string")
+    plan = normalize.unique_ids(ids, "raw", F.lit("q"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 2
+
+
+def test_ids_are_the_same_in_any_number_of_tasks(spark):
+    raw = ["x", "x-dup2", "x", " ", "y", "x ", "q4", "y-dup2-dup2", "y", "y-dup2", "z", "z", None, "z-dupe", "q4-dup2", "", "y"]
+    df = spark.createDataFrame([(f"r{r}", i, x) for r in range(5) for i, x in enumerate(raw[r:] + raw[:r], 1)], "run_id string, item_seq int, id string")
+    want = []
+    for r in range(5):
+        taken = set()
+        for i, x in enumerate(raw[r:] + raw[:r], 1):
+            first = one = (x or "").strip() or f"q{i}"
+            n = 2
+            while one in taken:
+                one, n = f"{first}-dup{n}", n + 1
+            taken.add(one)
+            want.append((f"r{r}", i, one, not (x or "").strip(), one != first))
+    for parts in (None, 1, 7):
+        found = normalize.unique_ids(df, "id", F.concat(F.lit("q"), "item_seq"), parts=parts).select("run_id", "item_seq", "id", "assigned", "remapped")
+        assert sorted(map(tuple, found.collect())) == want

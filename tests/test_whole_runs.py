@@ -9,8 +9,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from quizmill.operators import normalize, run
-from quizmill.plans import bindings, runs
+from quizmill.plans import authored, bindings, reporting, runs
 from quizmill.plans.bindings import written
 
 SF = "/root/testdata/sf0.001"
@@ -67,3 +68,15 @@ def test_a_preview_meets_in_one_shuffle(made):
         "run_id", name("questions", lambda q: F.struct(q["question"], q["images"], F.array_sort(q["issues"]), q["status"])).alias("q"), name("failed", lambda f: F.struct(f["ordinal"], F.array_sort(f["issues"]))).alias("f"), F.col("groups").alias("g"), F.array_sort("run_issues").alias("i"),
     )
     assert [tuple(r) for r in whole.orderBy("run_id").collect()] == [tuple(r) for r in cut.orderBy("run_id").collect()]
+
+
+def test_good_and_failed_questions_are_parsed_once(spark):
+    """Both kinds are rows of one table: no union of two plans that each read and parse all documents."""
+    plan = entry.queries()["authoring_items"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and plan.count("Scan parquet") == 1
+
+
+@pytest.mark.parametrize("made_by", [authored.documents, reporting._documents])
+def test_lines_are_dealt_once_to_make_documents(spark, made_by):
+    """They are grouped by the key by which they were numbered, where they are."""
+    assert made_by(spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1

@@ -13,6 +13,7 @@ import __spark_entry__ as entry
 from quizmill.operators import normalize, run
 from quizmill.plans import authored, bindings, reporting, runs
 from quizmill.plans.bindings import written
+from quizmill.sources import authoring
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,3 +81,11 @@ def test_good_and_failed_questions_are_parsed_once(spark):
 def test_lines_are_dealt_once_to_make_documents(spark, made_by):
     """They are grouped by the key by which they were numbered, where they are."""
     assert made_by(spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+def test_missing_images_meet_their_items_where_they_are_numbered(spark):
+    """Items are dealt once, by document, to be told of missing files and to be numbered."""
+    kept = []
+    authoring.read_items(authored.documents(spark, SF), authored.files(spark, SF), keep=lambda df: kept.append(df) or (written(df) if len(kept) == 1 else df))
+    top = kept[1]._jdf.queryExecution().executedPlan().toString().split("Union")[0]
+    assert top.count("Exchange ") == 1 and "Join" not in top
